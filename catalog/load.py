@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import overview  # noqa: F401
+from catalog import overview, performance  # noqa: F401

@@ -165,6 +165,31 @@ _SQL["long"] = (
     "SELECT 'h' AS type, qp_h AS qp, qb_h AS qb, time_h AS time, * FROM assess WHERE qp_h IS NOT NULL"
     " UNION ALL SELECT 'hr', qp_hr, qb_hr, time_hr, * FROM assess WHERE qp_hr IS NOT NULL)"
 )
+_SQL["everyone"] = (
+    "everyone AS ("
+    "SELECT 'h' AS type, qp_h AS qp, qb_h AS qb, time_h AS time, * FROM assess WHERE qp_h IS NOT NULL AND qb_h IS NOT NULL"
+    " UNION ALL SELECT 'hr', qp_hr, qb_hr, time_hr, * FROM assess WHERE qp_hr IS NOT NULL AND qb_hr IS NOT NULL"
+    " UNION ALL SELECT 'r', qp_r, qb_r, NULL, * FROM assess WHERE qp_r IS NOT NULL AND qb_r IS NOT NULL)"
+)
+# People at the model's matched operating point, and the predictor ``re``.
+_SQL["cut"] = (
+    "goal AS (SELECT round_even(avg(qb), 3) AS rate FROM everyone WHERE type IN ('h', 'hr')), "
+    "cut AS (SELECT max(i * 0.01::DOUBLE) AS threshold FROM range(101) t(i), goal "
+    "WHERE (SELECT avg(CASE WHEN qp > i * 0.01::DOUBLE THEN 1 ELSE 0 END) FROM everyone WHERE type = 'r') >= rate)"
+)
+_SQL["matched"] = (
+    "matched AS (SELECT type, qp, qb, id, survey_part, order_question, outcome FROM everyone "
+    "UNION ALL SELECT 're', qp, CASE WHEN qp >= threshold THEN 1 ELSE 0 END, id, survey_part, order_question, outcome "
+    "FROM everyone, cut WHERE type = 'r')"
+)
+# Accuracy of each participant per question set, with its descending percentile rank.
+_SQL["accset"] = (
+    "fst AS (SELECT * FROM everyone WHERE type <> 'r' AND NOT (type = 'h' AND survey_part = 2)), "
+    "accraw AS (SELECT id, survey_part AS set_q, avg(CASE WHEN qb = outcome THEN 1 ELSE 0 END) AS acc FROM fst "
+    "WHERE order_question < 6 AND survey_part <> 3 GROUP BY id, survey_part "
+    "UNION ALL SELECT id, 3, avg(CASE WHEN qb = outcome THEN 1 ELSE 0 END) FROM fst WHERE survey_part = 2 GROUP BY id), "
+    "accset AS (SELECT id, set_q, acc, 1 - row_number() OVER (PARTITION BY set_q ORDER BY acc, id) / count(*) OVER (PARTITION BY set_q) AS rank FROM accraw)"
+)
 _SQL["na"] = "na AS (SELECT * FROM assess WHERE survey_part = 2 AND setting = 'No anchor')"
 # Perception answers parsed and recoded, one row per (participant, set).
 _FRACTION = "TRY_CAST(split_part({c}, '/', 1) AS DOUBLE) / NULLIF(TRY_CAST(split_part({c}, '/', 2) AS DOUBLE), 0)"
@@ -196,7 +221,15 @@ def _answers_sql(k: int) -> str:
 
 
 _SQL["answers"] = "answers AS (" + " UNION ALL ".join(_answers_sql(k) for k in (1, 2, 3)) + ")"
-_NEEDS = {"long": ["assess"], "na": ["assess"], "answers": ["perception"]}
+_NEEDS = {
+    "long": ["assess"],
+    "na": ["assess"],
+    "answers": ["perception"],
+    "everyone": ["assess"],
+    "cut": ["assess", "everyone"],
+    "matched": ["assess", "everyone", "cut"],
+    "accset": ["assess", "everyone"],
+}
 
 
 def sql(body: str, *views: str) -> str:
