@@ -89,4 +89,4 @@ def present(value: Column | str) -> Column:
 
 def percent_and_count(share: Column | str, n: Column | str) -> Column:
     """Text cell such as ``12.5% (34)``."""
-    return F.concat(F.format_number(col(share) * 100, "0.###"), F.lit("% ("), col(n).cast("string"), F.lit(")"))
+    return F.concat(F.call_function("format_number", col(share) * 100, F.lit("0.###")), F.lit("% ("), col(n).cast("string"), F.lit(")"))
