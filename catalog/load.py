@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import impact, overview, performance  # noqa: F401
+from catalog import decisions, fairness, impact, layers, mapping, overview, performance, timeuse  # noqa: F401
