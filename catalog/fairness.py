@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from catalog import sqltext as q
-from catalog.registry import query
+from catalog.registry import off_ties, query
 from catalog.views import assess
 from twosight.operators import metrics, ranks
 from twosight.plans import fairness, impact, preparation
@@ -146,12 +146,11 @@ def _(spark, d):
 
 @query(
     "item_influence_rows",
-    f"WITH {_ITEM} SELECT idx AS index, grp, round(h, 5) AS h, round(hr, 5) AS hr, round(qp_r, 5) AS qp_r FROM iti",
+    f"WITH {_ITEM} SELECT idx AS index, grp, round(h + 1e-9, 6) AS h, round(hr + 1e-9, 6) AS hr, round(qp_r, 6) AS qp_r FROM iti",
     ["long"],
-    digits=5,
 )
 def _(spark, d):
-    return _items(spark, d).drop("influence")
+    return off_ties(_items(spark, d).drop("influence"), "h", "hr")
 
 
 @query(

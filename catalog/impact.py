@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from catalog import sqltext as q
-from catalog.registry import query
+from catalog.registry import off_ties, query
 from catalog.views import assess, view
 from twosight.functions.nulls import bin_floor, flag
 from twosight.operators import inference, joins, layers, metrics, ranks
@@ -149,13 +149,13 @@ def _(spark, d):
 @query(
     "gap_given_model_accuracy",
     f"""WITH z AS ({_A}), a AS (SELECT id, avg(CASE WHEN qb_r = outcome THEN 1 ELSE 0 END) AS acc_r FROM z GROUP BY id)
-        SELECT condition, setting, round(acc_r, 6) AS acc_r, round(avg(abs(qp_r - qp)), 6) AS mean_abs_diff,
+        SELECT condition, setting, round(acc_r, 6) AS acc_r, round(avg(abs(qp_r - qp)) + 1e-9, 6) AS mean_abs_diff,
         round(avg(CASE WHEN qb_r = qb THEN 1 ELSE 0 END), 6) AS agreement, count(*) AS n
         FROM z JOIN a USING (id) GROUP BY condition, setting, a.acc_r HAVING count(*) > 50""",
     ["long"],
 )
 def _(spark, d):
-    return impact.given_model_accuracy(_a(spark, d), more_than=50)
+    return off_ties(impact.given_model_accuracy(_a(spark, d), more_than=50), "mean_abs_diff")
 
 
 @query(
@@ -336,12 +336,12 @@ def _(spark, d):
 
 @query(
     "influence_by_participant",
-    f"""WITH {_NAI}, p AS (SELECT id, round(avg(influence), 9) AS mi, avg(abs(qp_r - qp_hr)) AS fd FROM nai GROUP BY id)
-        SELECT id, round(mi, 6) AS mean_influence, round(fd, 6) AS mean_final_diff FROM p""",
+    f"""WITH {_NAI}, p AS (SELECT id, avg(influence) AS mi, avg(abs(qp_r - qp_hr)) AS fd FROM nai GROUP BY id)
+        SELECT id, round(mi + 1e-9, 6) AS mean_influence, round(fd + 1e-9, 6) AS mean_final_diff FROM p""",
     ["na"],
 )
 def _(spark, d):
-    return impact.influence_by_participant(_na(spark, d)).drop("place")
+    return off_ties(impact.influence_by_participant(_na(spark, d)).drop("place"), "mean_influence", "mean_final_diff")
 
 
 @query(

@@ -19,6 +19,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def off_ties(df: DataFrame, *columns: str) -> DataFrame:
+    """Means of few five-decimal values often end in a 5 exactly where the comparison rounds, and
+    the engines add in different orders; both sides are nudged by the same tiny amount."""
+    return df.withColumns({c: F.col(c) + F.lit(1e-9) for c in columns})
+
+
 def query(name: str, sql: str | None = None, using: Sequence[str] = ("assess",), digits: int = 6):
     """Register ``fn(spark, folder)``; ``sql`` reads the views named in ``using``."""
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from catalog import sqltext as q
-from catalog.registry import query
+from catalog.registry import off_ties, query
 from catalog.views import assess, view
 from twosight.functions.nulls import flag
 from twosight.operators import inference, layers, ranks
@@ -21,12 +21,6 @@ _TP = "tp AS (SELECT * FROM long WHERE NOT (survey_part = 2 AND setting = 'No an
 _RIGHT = "CASE WHEN qb = outcome THEN 1 ELSE 0 END"
 
 
-def _off_ties(df, *columns):
-    """Times have five decimals, so their means and quartiles often end in a 5 exactly where the
-    comparison rounds; both sides are nudged by the same amount."""
-    return df.withColumns({c: F.col(c) + F.lit(1e-9) for c in columns})
-
-
 def _long(spark, d):
     return preparation.assessments_long(assess(spark, d), keep=_KEEP)
 
@@ -102,7 +96,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return _off_ties(timeuse.decrease_by_participant(_cum(spark, d)), "mean_time", "mean_time_sub")
+    return off_ties(timeuse.decrease_by_participant(_cum(spark, d)), "mean_time", "mean_time_sub")
 
 
 @query(
@@ -265,4 +259,4 @@ def _(spark, d):
 def _(spark, d):
     place = (F.col("id") % 2147483647) * 48271 % 2147483647
     boxes = timeuse.participant_boxes(_anchor(spark, d), 100, place)
-    return _off_ties(boxes.select("id", "n", "q1", "median", "q3", "ord"), "q1", "median", "q3")
+    return off_ties(boxes.select("id", "n", "q1", "median", "q3", "ord"), "q1", "median", "q3")
