@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.views import assess, view
 from twosight.operators.models import robust_logit
-from twosight.plans import decisions, preparation
+from twosight.plans import decisions
 
 _IT = (
     "it AS (SELECT idx, coalesce(prs, 'RFEL') AS prs, ogs, CASE WHEN incar IS NULL THEN 0 ELSE 1 END AS incar, crimecat FROM items), "
@@ -20,7 +20,7 @@ _REG = (
 
 def _rows(spark, d):
     items = decisions.recode_items(view(spark, d, "items"))
-    return decisions.with_items(preparation.everyone_long(assess(spark, d)), items)
+    return decisions.with_items(assess(spark, d), items)
 
 
 def _matrices(spark, d):

@@ -35,7 +35,7 @@ def _(spark, d):
     )
 
 
-@query("threshold_match", "SELECT round(threshold, 6) AS threshold FROM cut", ["cut"])
+@query("threshold_match", "SELECT round(rate, 6) AS rate, round(threshold, 6) AS threshold FROM cut, goal", ["cut"])
 def _(spark, d):
     return performance.operating_point(_everyone(spark, d))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from twosight.functions.nulls import col
 from twosight.operators.joins import with_group_stat
 from twosight.operators.ordered import ordered_cells, quantile_expr
+from twosight.session import stable
 
 
 def within_limits(df: DataFrame, value: Column | str, limits: tuple[float, float] | None) -> DataFrame:
@@ -111,7 +112,7 @@ def density(
     """
     keys = list(by)
     x = within_limits(df.select(*keys, col(value).cast("double").alias("value")), "value", limits)
-    cells = ordered_cells(x, "value", keys, ranges)
+    cells = stable(ordered_cells(x, "value", keys, ranges))  # read by several branches below
     per_group = bandwidth(cells, keys).where(F.col("_total") >= min_rows)
     overall = per_group.agg(
         F.avg("bw").alias("_shared"),
@@ -146,7 +147,7 @@ def box_stats(
     """Quartiles, whisker ends, number of outliers and the notch of each group."""
     keys = list(by)
     x = within_limits(df.select(*keys, col(value).cast("double").alias("value")), "value", limits)
-    cells = ordered_cells(x, "value", keys, ranges)
+    cells = stable(ordered_cells(x, "value", keys, ranges))  # read by several branches below
     quart = cells.groupBy(*keys).agg(
         F.max("n_total").alias("n"), *[quantile_expr(p).alias(q) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
     )

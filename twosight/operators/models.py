@@ -10,10 +10,9 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twosight.functions.nulls import col, count_if
+from twosight.functions.nulls import col, count_if, round_even
 from twosight.functions.pvalues import normal_two_sided
 from twosight.operators.joins import with_group_stat
-from twosight.operators.reshape import append
 from twosight.session import stable
 
 MAX_LEVELS = 1000
@@ -34,6 +33,15 @@ def _thresholds_below(score: Column, grid: int) -> Column:
     return F.least(start, F.lit(grid + 1)) + near
 
 
+def _rows_above(i: Column) -> Column:
+    """Rows above threshold number ``i``: bin k of the map (at most grid+2 of them) exceeds thresholds 0..k-1."""
+    return F.aggregate(
+        F.map_entries("_bins"),
+        F.lit(0).cast("long"),
+        lambda acc, e: acc + F.when(e["key"] > i, e["value"]).otherwise(F.lit(0)),
+    )
+
+
 def share_above(df: DataFrame, score: Column | str, by: Sequence[str] = (), grid: int = 100) -> DataFrame:
     """Share of scores above each threshold i/grid: ``threshold, share`` from one aggregate.
 
@@ -47,12 +55,7 @@ def share_above(df: DataFrame, score: Column | str, by: Sequence[str] = (), grid
     total = bins.groupBy(*by).agg(
         F.sum("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_k", "_n"))).alias("_bins")
     )
-    # At most grid+2 bins per group, held as a map: scores in bin k exceed exactly the thresholds 0..k-1.
-    above = F.aggregate(
-        F.map_entries("_bins"),
-        F.lit(0).cast("long"),
-        lambda acc, e: acc + F.when(e["key"] > F.col("_i"), e["value"]).otherwise(F.lit(0)),
-    )
+    above = _rows_above(F.col("_i"))
     steps = total.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid))))
     return steps.select(
         *by, (F.col("_i") * F.lit(1.0 / grid)).alias("threshold"), F.try_divide(above, F.col("n")).alias("share"), "n"
@@ -64,13 +67,40 @@ def match_threshold(
 ) -> DataFrame:
     """Largest threshold on the grid whose share of scores above it is still at least ``target``.
 
-    ``target`` may be a number or a one-value subquery (``frame.scalar()``).
+    ``target`` may be a number, a one-value subquery (``frame.scalar()``) or an aggregate of ``share_above``.
     """
     goal = target if isinstance(target, Column) else F.lit(float(target))
     shares = share_above(df, score, by, grid)
     return shares.groupBy(*by).agg(F.max(F.when(F.col("share") >= goal, F.col("threshold"))).alias("threshold"))
 
 
+def match_rate(
+    df: DataFrame, model: Column, score: Column | str, answer: Column | str, digits: int = 3, grid: int = 100
+) -> DataFrame:
+    """``rate`` of positive answers among the rows outside ``model`` (rounded), and the largest
+    ``threshold`` at which the model rows exceed the threshold at least that often.
+
+    One pass: every row adds to one of 2 x (grid + 2) cells; the rest works on those cells.
+    """
+    s = col(score).cast("double")
+    cells = (
+        df.select(model.alias("_m"), s.alias("_s"), col(answer).cast("double").alias("_a"))
+        .groupBy("_m", F.when(F.col("_m"), _thresholds_below(F.col("_s"), grid)).alias("_k"))
+        .agg(F.count("_s").alias("_n"), F.sum("_a").alias("_sum"), F.count("_a").alias("_known"))
+    )
+    one = cells.agg(
+        round_even(
+            F.try_divide(F.sum(F.when(~F.col("_m"), F.col("_sum"))), F.sum(F.when(~F.col("_m"), F.col("_known")))), digits
+        ).alias("rate"),
+        F.sum(F.when(F.col("_m"), F.col("_n"))).alias("_all"),
+        F.map_from_entries(F.collect_list(F.when(F.col("_m") & F.col("_k").isNotNull(), F.struct("_k", "_n")))).alias("_bins"),
+    )
+    steps = one.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid))))
+    share = F.try_divide(_rows_above(F.col("_i")), F.col("_all"))
+    fits = F.when(share >= F.col("rate"), F.col("_i") * F.lit(1.0 / grid))
+    return steps.select("rate", fits.alias("_t")).groupBy("rate").agg(F.max("_t").alias("threshold"))
+
+
 def apply_threshold(score: Column | str, threshold: Column | float, closed: bool = False) -> Column:
     """1 when the score exceeds the threshold (or reaches it, if ``closed``), 0 otherwise."""
     s = col(score)
@@ -80,10 +110,16 @@ def apply_threshold(score: Column | str, threshold: Column | float, closed: bool
 def add_rethresholded(
     long: DataFrame, threshold: DataFrame, source: str = "r", name: str = "re", closed: bool = True
 ) -> DataFrame:
-    """Append a predictor ``name``: the rows of ``source`` with ``qb`` set by the matched threshold."""
-    cut = with_group_stat(long.where(F.col("type") == source), threshold, [])
-    again = cut.withColumns({"type": F.lit(name), "qb": apply_threshold("qp", F.col("threshold"), closed)})
-    return append(long, again.drop("threshold"))
+    """Append a predictor ``name``: the rows of ``source`` with ``qb`` set by the matched threshold.
+
+    Each row of ``source`` is emitted twice by one narrow pass, so the input is not read again.
+    """
+    cut = with_group_stat(long, threshold, [])
+    again = {"type": F.lit(name), "qb": apply_threshold("qp", F.col("threshold"), closed)}
+    types = dict(long.dtypes)
+    first = F.struct(*long.columns)
+    second = F.struct(*[(again[c].cast(types[c]) if c in again else F.col(c)).alias(c) for c in long.columns])
+    return cut.select(F.inline(F.when(F.col("type") == source, F.array(first, second)).otherwise(F.array(first))))
 
 
 # --- logistic regression ----------------------------------------------------------------------
@@ -99,7 +135,7 @@ def levels_of(df: DataFrame, column: str) -> list:
 
 def design(
     df: DataFrame, numeric: Sequence[str] = (), category: str | None = None, interact: bool = False
-) -> tuple[DataFrame, dict[str, Column]]:
+) -> dict[str, Column]:
     """Design terms: numeric columns, 0/1 columns for every level but the alphabetically first,
     and, if asked, their products."""
     terms: dict[str, Column] = {c: F.col(c).cast("double") for c in numeric}
@@ -107,18 +143,19 @@ def design(
         dummies = {f"{category}{v}": (F.col(category) == v).cast("double") for v in levels_of(df, category)[1:]}
         crossed = {f"{c}:{d}": terms[c] * x for c in numeric for d, x in dummies.items()} if interact else {}
         terms = {**terms, **dummies, **crossed}
-    return df, terms
+    return terms
 
 
-def patterns(df: DataFrame, y: Column | str, terms: dict[str, Column]) -> DataFrame:
+def patterns(df: DataFrame, y: Column | str, terms: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct covariate pattern with the counts of y = 1 and y = 0, written once.
 
     The fit and the robust errors read this frame many times; the source is scanned only once.
     """
     names = [f"_t{i}" for i in range(len(terms))]
-    rows = df.select(col(y).cast("int").alias("_y"), *[c.alias(n) for n, c in zip(names, terms.values())]).dropna()
+    rows = df.select(*by, col(y).cast("int").alias("_y"), *[c.alias(n) for n, c in zip(names, terms.values())])
     return stable(
-        rows.groupBy(*names).agg(count_if(F.col("_y") == 1).alias("_n1"), count_if(F.col("_y") == 0).alias("_n0"))
+        rows.dropna(subset=["_y", *names]).groupBy(*by, *names)
+        .agg(count_if(F.col("_y") == 1).alias("_n1"), count_if(F.col("_y") == 0).alias("_n0"))
     )
 
 
@@ -166,16 +203,8 @@ class LogitFit:
         return out[0], out[1]
 
 
-def fit_logit(
-    df: DataFrame,
-    y: Column | str,
-    numeric: Sequence[str] = (),
-    category: str | None = None,
-    interact: bool = False,
-) -> LogitFit:
-    """Binomial GLM with logit link. The optimiser runs as Spark jobs over the weighted patterns."""
-    df, terms = design(df, numeric, category, interact)
-    cells = patterns(df, y, terms)
+def fit_patterns(cells: DataFrame, terms: Sequence[str]) -> LogitFit:
+    """Binomial GLM with logit link on covariate patterns; the optimiser runs as Spark jobs over them."""
     names = [f"_t{i}" for i in range(len(terms))]
     rows = cells.select(
         *names,
@@ -196,6 +225,17 @@ def fit_logit(
     return LogitFit(["(Intercept)", *terms], beta, se, cells)
 
 
+def fit_logit(
+    df: DataFrame,
+    y: Column | str,
+    numeric: Sequence[str] = (),
+    category: str | None = None,
+    interact: bool = False,
+) -> LogitFit:
+    terms = design(df, numeric, category, interact)
+    return fit_patterns(patterns(df, y, terms), list(terms))
+
+
 def logit(df: DataFrame, y: Column | str, numeric: Sequence[str] = (), category: str | None = None, interact: bool = False) -> DataFrame:
     return fit_logit(df, y, numeric, category, interact).tidy()
 

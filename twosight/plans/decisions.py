@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from twosight.functions.nulls import round_even
 from twosight.functions.recodes import human_or_model, present, prior_score_label, prior_score_number
 from twosight.operators.joins import attach, join_on, with_group_stat
-from twosight.operators.models import apply_threshold, match_threshold, robust_logit
+from twosight.operators.models import apply_threshold, design, fit_patterns, match_threshold, patterns
 from twosight.operators.reshape import append
+from twosight.plans.preparation import everyone_long
 
 
 def recode_items(items: DataFrame) -> DataFrame:
@@ -17,8 +18,11 @@ def recode_items(items: DataFrame) -> DataFrame:
     return items.withColumns({"prs": prior_score_label("prs"), "incar": present("incar")})
 
 
-def with_items(everyone: DataFrame, items: DataFrame) -> DataFrame:
-    return join_on(everyone, items.select("index", "prs", "ogs", "incar", "crimecat"), "index")
+def with_items(pred: DataFrame, items: DataFrame) -> DataFrame:
+    """All answers with the attributes of their item. The join comes before the answers are made
+    long, so a third of the rows cross it."""
+    extra = ("prs", "ogs", "incar", "crimecat")
+    return everyone_long(join_on(pred, items.select("index", *extra), "index"), extra)
 
 
 def decision_matrix(rows: DataFrame, model: DataFrame, judges: DataFrame, up_to: int = 10) -> DataFrame:
@@ -53,16 +57,21 @@ def regression_rows(rows: DataFrame) -> DataFrame:
 
 
 def three_actor_coefficients(rows: DataFrame) -> DataFrame:
-    """Robust logistic regressions on both scores for people, model and judges, stacked."""
+    """Robust logistic regressions on both scores for people, model and judges, stacked.
+
+    People and model share one reduction to covariate patterns.
+    """
     reg = regression_rows(rows)
     x = ["prs", "ogs"]
-    items = reg.select("index", "incar", *x).distinct()
-    fits = [
-        ("Human", robust_logit(reg.where(F.col("type") == "h"), "qb", x)),
-        ("RAI", robust_logit(reg.where(F.col("type") == "r"), "qb", x)),
-        ("Judge", robust_logit(items, "incar", x)),
-    ]
-    return append(*[f.withColumn("type", F.lit(name)) for name, f in fits])
+    terms = design(reg, x)
+    answers = patterns(reg, "qb", terms, by=["type"])
+    items = patterns(reg.select("index", "incar", *x).distinct(), "incar", terms)
+    actors = {
+        "Human": answers.where(F.col("type") == "h"),
+        "RAI": answers.where(F.col("type") == "r"),
+        "Judge": items,
+    }
+    return append(*[fit_patterns(cells, x).robust().withColumn("type", F.lit(name)) for name, cells in actors.items()])
 
 
 def charge_table(reg: DataFrame) -> DataFrame:

@@ -94,21 +94,19 @@ def base_rate(items: DataFrame, digits: int = 3) -> DataFrame:
 
 
 def prediction_summary(pred: DataFrame, cut: float = 0.5) -> DataFrame:
-    """Mean and median of scores and mean of binary answers, for people and model."""
-    columns = ["qp_hr", "qp_h", "qp_r", "qb_hr", "qb_h"]
-    wide = pred.select("setting", "id", *[F.col(c).cast("double").alias(c) for c in columns])
-    long = longer(wide, ["setting", "id"], columns).where(F.col("value").isNotNull())
-    source = F.when(F.col("type").isin("qp_hr", "qp_h"), "human score").when(F.col("type") == "qp_r", "model score")
-    binary = F.col("value")
-    named = long.select(source.alias("source"), "value").where("source IS NOT NULL")
-    scores = describe(named, "value", ["source"]).select("source", "mean", "median")
-    answers = long.where(F.col("type").isin("qb_hr", "qb_h")).agg(F.avg(binary).alias("mean")).select(
-        F.lit("human binary").alias("source"), "mean"
-    )
-    model = long.where(F.col("type") == "qp_r").agg(F.avg(flag(binary > cut)).alias("mean")).select(
-        F.lit("model binary").alias("source"), "mean"
-    )
-    return scores.unionByName(answers.unionByName(model), allowMissingColumns=True)
+    """Mean and median of scores and mean of binary answers, for people and model, from one pass."""
+    sources = [
+        ("human score", F.col("qp_hr")),
+        ("human score", F.col("qp_h")),
+        ("model score", F.col("qp_r")),
+        ("human binary", F.col("qb_hr")),
+        ("human binary", F.col("qb_h")),
+        ("model binary", flag(F.col("qp_r") > cut)),
+    ]
+    pairs = [F.struct(F.lit(name).alias("source"), c.cast("double").alias("value")) for name, c in sources]
+    long = pred.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    score = F.col("source").endswith("score")
+    return describe(long, "value", ["source"]).select("source", "mean", F.when(score, F.col("median")).alias("median"))
 
 
 def session_times(times: DataFrame) -> DataFrame:

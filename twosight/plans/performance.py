@@ -9,10 +9,9 @@ from twosight.functions.nulls import flag, ratio, round_even, share_of, strict
 from twosight.functions.recodes import human_or_model
 from twosight.operators.inference import welch_t
 from twosight.operators.joins import attach, join_on
-from twosight.operators.models import add_rethresholded, match_threshold
+from twosight.operators.models import add_rethresholded, match_rate
 from twosight.operators.ordered import percentile_rank_desc
 from twosight.operators.ranks import spearman
-from twosight.operators.reshape import wider
 from twosight.plans.preparation import first_answers
 
 # --- fixed values: number of items each accuracy question is about ---
@@ -25,27 +24,21 @@ def right() -> Column:
     return flag(F.col("qb") == F.col("outcome"))
 
 
-def people_positive_rate(everyone: DataFrame, digits: int = 3) -> DataFrame:
-    rows = everyone.where(F.col("type").isin("h", "hr"))
-    return rows.agg(round_even(F.avg("qb"), digits).alias("rate"))
-
-
-def operating_point(everyone: DataFrame) -> DataFrame:
-    """Model threshold at which the model predicts positives at least as often as people do."""
-    target = people_positive_rate(everyone).scalar()
-    return match_threshold(everyone.where(F.col("type") == "r"), "qp", target)
+def operating_point(everyone: DataFrame, digits: int = 3) -> DataFrame:
+    """People's positive rate, and the model threshold at which the model reaches it."""
+    return match_rate(everyone, F.col("type") == "r", "qp", "qb", digits)
 
 
 def with_matched_model(everyone: DataFrame, closed: bool = True) -> DataFrame:
     """Append the predictor ``re``: the model at the matched operating point."""
-    return add_rethresholded(everyone, operating_point(everyone), closed=closed)
+    return add_rethresholded(everyone, operating_point(everyone).select("threshold"), closed=closed)
 
 
 def beat_model(matched: DataFrame, parts: tuple[int, ...] = (2, 3)) -> DataFrame:
     """Share and number of participants at least as accurate as the model, at both operating points."""
     rows = first_answers(matched).where(F.col("survey_part").isin(*parts))
-    acc = rows.groupBy("id", human_or_model("type").alias("type")).agg(F.avg(right()).alias("acc"))
-    each = wider(acc, ["id"], "type", ["h", "r", "re"], "acc")
+    kind = human_or_model("type")
+    each = rows.groupBy("id").agg(*[F.avg(F.when(kind == k, right())).alias(k) for k in ("h", "r", "re")])
     return each.agg(
         share_of(F.col("h") >= F.col("r")).alias("share_r"),
         F.coalesce(F.sum(flag(F.col("h") >= F.col("r"))), F.lit(0)).alias("n_r"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twosight.functions.nulls import fraction, if_known, matches
 from twosight.functions.recodes import confidence_class, rank_class
 from twosight.operators.joins import join_on, keep_matching
-from twosight.operators.reshape import assessments_long, mutate_each, question_sets_long
+from twosight.operators.reshape import ASSESSMENT_KEYS, assessments_long, mutate_each, question_sets_long
 
 
 def arms(pred: DataFrame, *columns: str) -> DataFrame:
@@ -39,10 +39,13 @@ def first_answers(long: DataFrame) -> DataFrame:
     return long.where(~((F.col("type") == "h") & (F.col("survey_part") == 2)))
 
 
-def everyone_long(pred: DataFrame) -> DataFrame:
-    """People and model in one column; rows with any missing entry are dropped."""
-    keys = [c for c in ("id", "index", "order_question", "survey_part", "setting", "condition", "outcome") if c in pred.columns]
-    return assessments_long(pred, ("h", "hr", "r"), complete=(*keys, "qp", "qb"))
+def everyone_long(pred: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """People and model in one column; rows with any missing entry are dropped.
+
+    ``extra`` columns (of joined items) are carried along and may be missing.
+    """
+    keys = [c for c in ASSESSMENT_KEYS if c in pred.columns]
+    return assessments_long(pred, ("h", "hr", "r"), keep=(*keys, *extra), complete=(*keys, "qp", "qb"))
 
 
 def perception_long(perception: DataFrame, arm: DataFrame | None = None, wrong_total: str = "25") -> DataFrame:
