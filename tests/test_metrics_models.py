@@ -168,6 +168,19 @@ def test_logit(df, frame, interact):
     assert ((0 <= tidy.p) & (tidy.p <= 1)).all()
 
 
+def test_logit_of_few_heavy_patterns(spark):
+    """Large counts per pattern with an uneven outcome."""
+    cells = [(x, n1, n0) for x, n1, n0 in [(0.0, 65000, 35000), (1.0, 66000, 34000), (2.0, 70000, 30000)]]
+    rows = spark.createDataFrame(cells, "_t0 double, _n1 long, _n0 long")
+    x = np.array([[1, c[0]] for c in cells])
+    beta = np.zeros(2)
+    n, y = np.array([c[1] + c[2] for c in cells]), np.array([c[1] / (c[1] + c[2]) for c in cells])
+    for _ in range(30):
+        mu = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.solve(x.T @ (x * (n * mu * (1 - mu))[:, None]), x.T @ (n * (y - mu)))
+    np.testing.assert_allclose(models.fit_patterns(rows, ["x"]).beta, beta, rtol=1e-8)
+
+
 def test_too_many_levels_are_refused(spark, monkeypatch):
     monkeypatch.setattr(models, "MAX_LEVELS", 3)
     with pytest.raises(ValueError):

@@ -206,15 +206,10 @@ class LogitFit:
 def fit_patterns(cells: DataFrame, terms: Sequence[str]) -> LogitFit:
     """Binomial GLM with logit link on covariate patterns; the optimiser runs as Spark jobs over them."""
     names = [f"_t{i}" for i in range(len(terms))]
-    rows = cells.select(
-        *names,
-        F.inline(
-            F.array(
-                F.struct(F.lit(1.0).alias("_y"), F.col("_n1").cast("double").alias("_w")),
-                F.struct(F.lit(0.0).alias("_y"), F.col("_n0").cast("double").alias("_w")),
-            )
-        ),
-    ).where("_w > 0")
+    # One row per pattern with its share of positives: the optimiser then starts from those shares.
+    # (0/1 rows with large weights would start it far away, where Newton steps can diverge.)
+    n = (F.col("_n1") + F.col("_n0")).cast("double")
+    rows = cells.select(*names, (F.col("_n1") / n).alias("_y"), n.alias("_w"))
     rows = VectorAssembler(inputCols=names, outputCol="_x").transform(rows)
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="_x", labelCol="_y", weightCol="_w", tol=1e-12, maxIter=50
