@@ -112,14 +112,18 @@ def add_rethresholded(
 ) -> DataFrame:
     """Append a predictor ``name``: the rows of ``source`` with ``qb`` set by the matched threshold.
 
-    Each row of ``source`` is emitted twice by one narrow pass, so the input is not read again.
+    Each row of ``source`` is emitted twice by one narrow pass, so the input is not read again, and
+    columns that a query does not use are still pruned.
     """
     cut = with_group_stat(long, threshold, [])
-    again = {"type": F.lit(name), "qb": apply_threshold("qp", F.col("threshold"), closed)}
-    types = dict(long.dtypes)
-    first = F.struct(*long.columns)
-    second = F.struct(*[(again[c].cast(types[c]) if c in again else F.col(c)).alias(c) for c in long.columns])
-    return cut.select(F.inline(F.when(F.col("type") == source, F.array(first, second)).otherwise(F.array(first))))
+    copies = F.when(F.col("type") == source, F.array("type", F.lit(name))).otherwise(F.array("type"))
+    doubled = cut.withColumn("_type", F.explode(copies))
+    again = F.col("_type") == name
+    new = {
+        "type": F.col("_type"),
+        "qb": F.when(again, apply_threshold("qp", F.col("threshold"), closed)).otherwise(F.col("qb")),
+    }
+    return doubled.select(*[new[c].alias(c) if c in new else F.col(c) for c in long.columns])
 
 
 # --- logistic regression ----------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Wide/long reshaping. Long forms are one narrow pass (array of structs), never a union of scans."""
+"""Wide/long reshaping. Long forms are one narrow pass, never a union of scans."""
 
 from __future__ import annotations
 
@@ -55,14 +55,20 @@ def paired_longer(
 
     ``variants`` maps each type label to its measures, e.g. ``{"h": {"qp": "qp_h", "qb": "qb_h"}}``.
     """
-    structs = [
-        F.struct(
-            F.lit(label).alias(name),
-            *[(F.col(c) if isinstance(c, str) else c).alias(m) for m, c in measures.items()],
-        )
-        for label, measures in variants.items()
-    ]
-    return df.select(*ids, F.inline(F.array(*structs)))
+    # Only the label is exploded; each measure is then picked by it. Measures that a query does not
+    # use are pruned down to the scan, which an exploded array of structs would prevent.
+    measures = list(dict.fromkeys(m for columns in variants.values() for m in columns))
+    exploded = df.withColumn(name, F.explode(F.array(*[F.lit(label) for label in variants])))
+
+    def pick(measure: str) -> Column:
+        out = F
+        for label, columns in variants.items():
+            c = columns.get(measure)
+            if c is not None:
+                out = out.when(F.col(name) == label, F.col(c) if isinstance(c, str) else c)
+        return out
+
+    return exploded.select(*ids, name, *[pick(m).alias(m) for m in measures])
 
 
 def assessments_long(
@@ -84,7 +90,7 @@ def assessments_long(
         t: {
             "qp": f"qp_{t}",
             "qb": f"qb_{t}",
-            "time": f"time_{t}" if f"time_{t}" in have else F.lit(None).cast("double"),
+            **({"time": f"time_{t}"} if f"time_{t}" in have else {}),
         }
         for t in types
     }
@@ -97,21 +103,22 @@ def question_sets_long(df: DataFrame, ids: Sequence[str] = ("id",), sets: Sequen
 
     A question that a set did not ask becomes NULL.
     """
-    types = dict(df.dtypes)
     asked: dict[int, dict[str, str]] = {}
     for k in sets:
         part = select_matching(df.drop(*ids), rf"_{k}$")
         asked[k] = dict(zip(strip_from_names(part, f"_{k}").columns, part.columns))
     names = list(dict.fromkeys(n for columns in asked.values() for n in columns))
-    kind = {n: types[next(c[n] for c in asked.values() if n in c)] for n in names}
-    structs = [
-        F.struct(
-            F.lit(k).alias("set_q"),
-            *[(F.col(c[n]) if n in c else F.lit(None)).cast(kind[n]).alias(n) for n in names],
-        )
-        for k, c in asked.items()
-    ]
-    return df.select(*ids, F.inline(F.array(*structs)))
+    label = F.explode(F.array(*[F.lit(k) for k in sets]))
+    exploded = df.withColumn("set_q", label)
+
+    def pick(n: str) -> Column:
+        out = F
+        for k, columns in asked.items():
+            if n in columns:
+                out = out.when(F.col("set_q") == k, F.col(columns[n]))
+        return out
+
+    return exploded.select(*ids, "set_q", *[pick(n).alias(n) for n in names])
 
 
 def positives_by_name(df: DataFrame, columns: Sequence[str]) -> DataFrame:
