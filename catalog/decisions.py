@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from catalog import sqltext as q
 from catalog.registry import query
 from catalog.views import assess, view
 from twosight.operators.models import robust_logit
@@ -57,12 +58,31 @@ def _(spark, d):
     return decisions.charge_table(decisions.regression_rows(_rows(spark, d)))
 
 
-@query("logit_robust")
+_TERM = "CASE i WHEN 0 THEN '(Intercept)' WHEN 1 THEN 'prs' ELSE 'ogs' END AS term, round(estimate, 6) AS estimate, round(hc0, 6) AS std_error, round(estimate / hc0, 6) AS statistic"
+
+
+def _actor(kind: str) -> str:
+    return f"SELECT prs AS x1, ogs AS x2, sum(qb) AS n1, count(*) AS n FROM reg WHERE type = '{kind}' GROUP BY prs, ogs"
+
+
+_JUDGE = "SELECT prs AS x1, ogs AS x2, sum(incar) AS n1, count(*) AS n FROM (SELECT DISTINCT idx, incar, prs, ogs FROM reg) k GROUP BY prs, ogs"
+
+
+@query(
+    "logit_robust",
+    f"WITH RECURSIVE {_REG}, {q.logit_ctes('lh', _actor('h'))} SELECT {_TERM} FROM lh_f",
+    ["everyone", "items"],
+)
 def _(spark, d):
     reg = decisions.regression_rows(_rows(spark, d))
-    return robust_logit(reg.where("type = 'h'"), "qb", ["prs", "ogs"])
+    return robust_logit(reg.where("type = 'h'"), "qb", ["prs", "ogs"]).drop("p")
 
 
-@query("three_actor_coefs")
+@query(
+    "three_actor_coefs",
+    f"""WITH RECURSIVE {_REG}, {q.logit_ctes('lh', _actor('h'))}, {q.logit_ctes('lr', _actor('r'))}, {q.logit_ctes('lj', _JUDGE)}
+        SELECT {_TERM}, 'Human' AS type FROM lh_f UNION ALL SELECT {_TERM}, 'RAI' FROM lr_f UNION ALL SELECT {_TERM}, 'Judge' FROM lj_f""",
+    ["everyone", "items"],
+)
 def _(spark, d):
-    return decisions.three_actor_coefficients(_rows(spark, d))
+    return decisions.three_actor_coefficients(_rows(spark, d)).drop("p")

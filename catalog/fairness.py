@@ -39,14 +39,36 @@ def _(spark, d):
     return ranks.auc(_hr(spark, d), "outcome", "qp", ["grp"])
 
 
-@query("logit_main")
+_PATTERNS = f"SELECT grp AS g, qp AS x1, CASE WHEN grp = 'g1' THEN 1 ELSE 0 END AS x2, sum(outcome) AS n1, count(*) AS n FROM ({_A}) z GROUP BY grp, qp"
+
+
+@query(
+    "logit_main",
+    f"""WITH RECURSIVE {q.logit_ctes("lm", _PATTERNS)}
+        SELECT CASE i WHEN 0 THEN '(Intercept)' WHEN 1 THEN 'qp' ELSE 'grpg1' END AS term, round(estimate, 6) AS estimate, round(se, 6) AS std_error,
+        round(estimate / se, 6) AS statistic FROM lm_f""",
+    ["long"],
+)
 def _(spark, d):
-    return fairness.calibration_logit(_hr(spark, d), "grp")
+    return fairness.calibration_logit(_hr(spark, d), "grp").drop("p")
 
 
-@query("logit_interaction")
+@query(
+    "logit_interaction",
+    f"""WITH RECURSIVE {q.logit_by_group_ctes("li", _PATTERNS)},
+        t AS (SELECT '(Intercept)' AS term, b0 AS e, sqrt(v00) AS s FROM li_f WHERE g = 'g0' UNION ALL SELECT 'qp', b1, sqrt(v11) FROM li_f WHERE g = 'g0'
+        UNION ALL SELECT 'grpg1', max(CASE WHEN g = 'g1' THEN b0 END) - max(CASE WHEN g = 'g0' THEN b0 END), sqrt(sum(v00)) FROM li_f
+        UNION ALL SELECT 'qp:grpg1', max(CASE WHEN g = 'g1' THEN b1 END) - max(CASE WHEN g = 'g0' THEN b1 END), sqrt(sum(v11)) FROM li_f)
+        SELECT term, round(e, 6) AS estimate, round(s, 6) AS std_error, round(e / s, 6) AS statistic FROM t""",
+    ["long"],
+)
+def _(spark, d):
+    return fairness.calibration_logit(_hr(spark, d), "grp", interact=True).drop("p")
+
+
+@query("calibration_p_values")
 def _(spark, d):
-    return fairness.calibration_logit(_hr(spark, d), "grp", interact=True)
+    return fairness.calibration_logit(_hr(spark, d), "grp")
 
 
 @query(

@@ -59,10 +59,25 @@ def _(spark, d):
     return layers.density(rows, F.round("value", 6), ["type"], limits=(0.0, 1.0)).where("density > 0.001")
 
 
-@query("density_ridges")
+@query(
+    "density_ridges",
+    """WITH x AS (SELECT floor(qp_r * 10) / 10 AS qp_r_bin, setting, qp AS x FROM long WHERE type = 'hr' AND qp BETWEEN 0 AND 1),
+       b AS (SELECT qp_r_bin, setting, 0.9::DOUBLE * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34::DOUBLE) * pow(count(*), -0.2::DOUBLE) AS bw,
+             count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) >= 3),
+       s AS (SELECT avg(bw) AS bw, 0 - 3 * avg(bw) AS lo, 1 + 3 * avg(bw) AS hi FROM b),
+       p AS (SELECT qp_r_bin, setting, n, (x - lo) / (hi - lo) * 1023 AS pos FROM x JOIN b USING (qp_r_bin, setting), s),
+       w AS (SELECT qp_r_bin, setting, n, least(floor(pos), 1022) AS node, 1 - (pos - least(floor(pos), 1022)) AS w FROM p
+             UNION ALL SELECT qp_r_bin, setting, n, least(floor(pos), 1022) + 1, pos - least(floor(pos), 1022) FROM p),
+       nd AS (SELECT qp_r_bin, setting, n, node, sum(w) AS w FROM w GROUP BY 1, 2, 3, 4),
+       k AS (SELECT qp_r_bin, setting, i AS point, lo + i * (hi - lo) / 511 AS x, bw, n,
+             sum(w * exp(-0.5::DOUBLE * pow((i * (hi - lo) / 511 - node * (hi - lo) / 1023) / bw, 2))) / (n * bw * sqrt(2 * pi())) AS density
+             FROM nd, s, range(512) t(i) GROUP BY qp_r_bin, setting, i, lo, hi, bw, n)
+       SELECT qp_r_bin, setting, point, round(x, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k WHERE density > 0.001""",
+    ["long"],
+)
 def _(spark, d):
     rows = preparation.assisted(assess(spark, d)).withColumn("qp_r_bin", bin_floor("qp_r", 10))
-    return layers.ridges(rows, "qp", ["qp_r_bin", "setting"], limits=(0.0, 1.0))
+    return layers.ridges(rows, "qp", ["qp_r_bin", "setting"], limits=(0.0, 1.0)).where("density > 0.001")
 
 
 @query(

@@ -70,6 +70,21 @@ def _(spark, d):
     return bootstrap.bootstrap_auc(performance.with_matched_model(_everyone(spark, d)), "outcome", "qp", ["type"], seed=7)
 
 
+@query(
+    "bootstrap_covers_auc",
+    f"""WITH au AS ({q.auc_sql("SELECT type, outcome AS y, qp AS s FROM long", ["type"])})
+        SELECT type, auc, n_pos + n_neg AS n, CAST(300 AS BIGINT) AS replicates, true AS covers, true AS centred FROM au""",
+    ["long"],
+)
+def _(spark, d):
+    long = preparation.assessments_long(assess(spark, d))
+    point = ranks.auc(long, "outcome", "qp", ["type"]).select("type", "auc")
+    both = bootstrap.bootstrap_auc(long, "outcome", "qp", ["type"], seed=5).join(point, "type")
+    inside = F.col("auc").between(F.col("lb"), F.col("ub"))
+    centred = F.abs(F.col("mean") - F.col("auc")) < (F.col("ub") - F.col("lb")) / 10
+    return both.select("type", "auc", "n", "replicates", inside.alias("covers"), centred.alias("centred"))
+
+
 @query(
     "bundle_with_auc_wide",
     f"""WITH au AS ({q.auc_sql("SELECT type, outcome AS y, qp AS s FROM long", ["type"])}),

@@ -130,3 +130,66 @@ def metric_pairs_sql(source: str, group: str, pairs: Sequence[tuple[str, str]])
         f"FROM ({rows}) mr, (VALUES {values}) p(pa, pb) WHERE {group} IN (pa, pb)"
     )
     return welch_sql(src, ["metric", "ord", "a", "b"])
+
+
+def logit_ctes(name: str, source: str, steps: int = 25) -> str:
+    """Newton's method for a logistic regression on (1, x1, x2); ``source`` gives x1, x2, n1, n.
+
+    Ends in the table ``<name>_f`` (i, estimate, se, hc0).
+    """
+    mu = "1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2)))"
+    x = ["1", "x1", "x2"]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    h = ", ".join(f"sum(n * m * (1 - m) * {x[i]} * {x[j]}) AS h{i}{j}" for i, j in pairs)
+    meat = ", ".join(f"sum((n1 * (1 - m) * (1 - m) + (n - n1) * m * m) * {x[i]} * {x[j]}) AS m{i}{j}" for i, j in pairs)
+    g = ", ".join(f"sum((n1 - n * m) * {x[i]}) AS g{i}" for i in range(3))
+    det = "h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02)"
+    inverse = {
+        (0, 0): "(h11 * h22 - h12 * h12) / det",
+        (0, 1): "(h02 * h12 - h01 * h22) / det",
+        (0, 2): "(h01 * h12 - h02 * h11) / det",
+        (1, 1): "(h00 * h22 - h02 * h02) / det",
+        (1, 2): "(h01 * h02 - h00 * h12) / det",
+        (2, 2): "(h00 * h11 - h01 * h01) / det",
+    }
+
+    def v(i: int, j: int) -> str:
+        return inverse[min(i, j), max(i, j)]
+
+    def pair(s: str, i: int, j: int) -> str:
+        return f"{s}{min(i, j)}{max(i, j)}"
+
+    step = ", ".join(f"b{i} + " + " + ".join(f"g{j} * {v(i, j)}" for j in range(3)) for i in range(3))
+    vs = ", ".join(f"{inverse[k]} AS v{k[0]}{k[1]}" for k in inverse)
+    sandwich = [
+        " + ".join(f"{pair('v', i, j)} * {pair('m', j, k)} * {pair('v', k, i)}" for j in range(3) for k in range(3))
+        for i in range(3)
+    ]
+    rows = " UNION ALL ".join(
+        f"SELECT {i} AS i, b{i} AS estimate, sqrt(v{i}{i}) AS se, sqrt({sandwich[i]}) AS hc0 FROM {name}_v" for i in range(3)
+    )
+    return (
+        f"{name}_c AS MATERIALIZED (SELECT x1::DOUBLE AS x1, x2::DOUBLE AS x2, n1::DOUBLE AS n1, n::DOUBLE AS n FROM ({source}) s), "
+        f"{name}_it AS (SELECT 0 AS k, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2 UNION ALL SELECT k + 1, {step} FROM "
+        f"(SELECT *, {det} AS det FROM (SELECT k, b0, b1, b2, {g}, {h} FROM (SELECT i.*, c.*, {mu} AS m FROM {name}_it i, {name}_c c WHERE k < {steps}) z "
+        f"GROUP BY k, b0, b1, b2) y) w), "
+        f"{name}_v AS (SELECT *, {vs} FROM (SELECT *, {det} AS det FROM (SELECT b0, b1, b2, {h}, {meat} FROM "
+        f"(SELECT i.*, c.*, {mu} AS m FROM {name}_it i, {name}_c c WHERE k = {steps}) z GROUP BY b0, b1, b2) y) w), "
+        f"{name}_f AS ({rows})"
+    )
+
+
+def logit_by_group_ctes(name: str, source: str, steps: int = 25) -> str:
+    """The same on (1, x1) separately per g; ends in ``<name>_f`` (g, b0, b1, v00, v11)."""
+    mu = "1 / (1 + exp(-(b0 + b1 * x1)))"
+    h = "sum(n * m * (1 - m)) AS h00, sum(n * m * (1 - m) * x1) AS h01, sum(n * m * (1 - m) * x1 * x1) AS h11"
+    g = "sum(n1 - n * m) AS g0, sum((n1 - n * m) * x1) AS g1"
+    det = "h00 * h11 - h01 * h01"
+    return (
+        f"{name}_c AS MATERIALIZED (SELECT g, x1::DOUBLE AS x1, n1::DOUBLE AS n1, n::DOUBLE AS n FROM ({source}) s), "
+        f"{name}_it AS (SELECT DISTINCT g, 0 AS k, 0::DOUBLE AS b0, 0::DOUBLE AS b1 FROM {name}_c UNION ALL "
+        f"SELECT g, k + 1, b0 + (g0 * h11 - g1 * h01) / det, b1 + (g1 * h00 - g0 * h01) / det FROM (SELECT *, {det} AS det FROM "
+        f"(SELECT z.g, k, b0, b1, {g}, {h} FROM (SELECT i.*, c.x1, c.n1, c.n, {mu} AS m FROM {name}_it i JOIN {name}_c c USING (g) WHERE k < {steps}) z GROUP BY z.g, k, b0, b1) y) w), "
+        f"{name}_f AS (SELECT g, b0, b1, h11 / det AS v00, h00 / det AS v11 FROM (SELECT *, {det} AS det FROM (SELECT z.g, b0, b1, {h} FROM "
+        f"(SELECT i.*, c.x1, c.n1, c.n, {mu} AS m FROM {name}_it i JOIN {name}_c c USING (g) WHERE k = {steps}) z GROUP BY z.g, b0, b1) y) w)"
+    )

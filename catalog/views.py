@@ -241,6 +241,8 @@ def sql(body: str, *views: str) -> str:
                 ordered.append(name)
     heads = ", ".join(_SQL[v] for v in ordered)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {heads}, {body[5:]}" if heads else body
     return f"WITH {heads} {body}" if heads else body
