@@ -583,6 +583,17 @@ def _(spark, d):
     return ranks.spearman(_use(spark, d), "use_likelihood", F.round("mean_influence", 9)).drop("p")
 
 
+@query(
+    "trust_shares",
+    f"WITH {_USE} SELECT trusts AS trust, count(*) AS n, round(count(*) / (SELECT count(*) FROM usage), 6) AS prop FROM usage GROUP BY trusts",
+    ["answers", "na"],
+)
+def _(spark, d):
+    from twosight.operators.summary import share
+
+    return share(_use(spark, d), ["trust"])
+
+
 @query(
     "use_by_trust",
     f"""WITH {_USE} SELECT trusts AS trust, round(avg(mean_influence), 6) AS mean_influence, round(avg(mean_initial_diff), 6) AS mean_initial_diff,

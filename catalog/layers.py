@@ -59,6 +59,20 @@ def _(spark, d):
     return layers.density(rows, F.round("value", 6), ["type"], limits=(0.0, 1.0)).where("density > 0.001")
 
 
+@query(
+    "density_influence_by_participant",
+    _density_sql(
+        """SELECT 1 AS g, round(avg(CASE WHEN abs(qp_h - qp_r) > 0.05::DOUBLE THEN (qp_hr - qp_h) / (qp_r - qp_h) END), 6) AS x FROM na GROUP BY id""", -0.5, 1
+    )
+    + "SELECT point::BIGINT AS point, round(xg, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k WHERE density > 0.001",
+    ["na"],
+)
+def _(spark, d):
+    pair = impact.with_influence(preparation.part_two(assess(spark, d), "No anchor"))
+    people = pair.groupBy("id").agg(F.round(F.avg("influence"), 6).alias("mean_influence"))
+    return layers.density(people, "mean_influence", limits=(-0.5, 1.0)).where("density > 0.001")
+
+
 @query(
     "density_ridges",
     """WITH x AS (SELECT floor(qp_r * 10) / 10 AS qp_r_bin, setting, qp AS x FROM long WHERE type = 'hr' AND qp BETWEEN 0 AND 1),

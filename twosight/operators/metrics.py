@@ -150,7 +150,3 @@ def metric_pairs(
 def metrics_wide(bundle: DataFrame, group: str, names: Sequence, keys: Sequence[str] = ()) -> DataFrame:
     """One column of metric values per group."""
     return wider(bundle, [*keys, "metric", "ord"], group, names, "value")
-
-
-def agreement(a: Column | str, b: Column | str) -> Column:
-    return flag(col(a) == col(b))

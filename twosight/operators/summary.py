@@ -108,7 +108,3 @@ def ratio_of_means(a: Column, b: Column) -> Column:
 def mean_of_ratios(a: Column, b: Column) -> Column:
     return F.avg(F.try_divide(a, b))
 
-
-def count_groups(df: DataFrame, test: Column, name: str = "n") -> DataFrame:
-    """Number of rows passing a test, as a one-row frame."""
-    return df.agg(F.count(F.when(test, 1)).alias(name))
