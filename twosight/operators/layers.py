@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twosight.functions.nulls import col
 from twosight.operators.joins import with_group_stat
-from twosight.operators.ordered import ordered_cells, quantile_expr
+from twosight.operators.ordered import join_stat_by_range, ordered_cells, quantile_expr
 from twosight.session import stable
 
 
@@ -69,7 +69,7 @@ def _grid_density(
     Values are first shared out linearly between the two nearest of ``fine`` grid nodes, so a group
     contributes at most ``fine`` weighted nodes however many rows it has.
     """
-    placed = with_group_stat(cells, stats, by)
+    placed = join_stat_by_range(cells, stats, by)
     pos = (F.col("value") - F.col("_from")) / (F.col("_to") - F.col("_from")) * (fine - 1)
     left = F.least(F.floor(pos), F.lit(fine - 2))
     halves = F.array(
@@ -128,7 +128,7 @@ def density(
         (F.col("_low") - pad * F.col("_shared")).alias("_from"),
         (F.col("_high") + pad * F.col("_shared")).alias("_to"),
     )
-    return _grid_density(cells.select(*keys, "value", "n"), keys, stats.where("_to > _from"), points, fine)
+    return _grid_density(cells.select("_range", *keys, "value", "n"), keys, stats.where("_to > _from"), points, fine)
 
 
 def ridges(df: DataFrame, value: Column | str, by: Sequence[str], limits: tuple[float, float] | None = None, **kw) -> DataFrame:
@@ -151,7 +151,7 @@ def box_stats(
     quart = cells.groupBy(*keys).agg(
         F.max("n_total").alias("n"), *[quantile_expr(p).alias(q) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
     )
-    fences = with_group_stat(cells.select(*keys, "value", F.col("n").alias("_c")), quart, keys)
+    fences = join_stat_by_range(cells.select("_range", *keys, "value", F.col("n").alias("_c")), quart, keys)
     reach = coef * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     notch = 1.58 * (F.col("q3") - F.col("q1")) / F.sqrt(F.col("n").cast("double"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twosight.functions.nulls import col
-from twosight.operators.joins import attach
+from twosight.operators.joins import attach, with_group_stat
 from twosight.session import stable
 
 
@@ -23,11 +23,14 @@ def prefix_sums(
     sums: dict[str, Column],
     by: Sequence[str] = (),
     ranges: int | None = None,
+    keep_range: bool = False,
 ) -> DataFrame:
     """Add ``<name>_before`` (sum over earlier rows of the group) and ``<name>_total`` (sum over the
     group) for every entry of ``sums``.
 
     ``order`` must be unique within a group: aggregate to cells first, or append tie-breakers.
+    ``keep_range`` also returns the number of the row's range, by which ``join_stat_by_range`` spreads
+    a large group.
     """
     keys = list(by)
     order_cols = [col(o) for o in order]
@@ -53,9 +56,23 @@ def prefix_sums(
         *df.columns,
         *[(F.coalesce(f"_in_{n}", zero) + F.coalesce(f"_off_{n}", zero)).alias(f"{n}_before") for n in sums],
         *[F.col(f"{n}_total") for n in sums],
+        *(["_range"] if keep_range else []),
     )
 
 
+def join_stat_by_range(rows: DataFrame, stat: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Give every ordered row the statistic of its group without bringing the group together.
+
+    The statistic goes to the (range, group) pairs first, at most one per range for a large group,
+    and from there to the rows, so both joins are spread over the ranges.
+    """
+    keys = list(by)
+    if not keys:
+        return with_group_stat(rows, stat, [])
+    pairs = attach(rows.select("_range", *keys).distinct(), stat, keys)
+    return attach(rows, pairs, ["_range", *keys])
+
+
 def ordered_position(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -116,6 +133,7 @@ def ordered_cells(df: DataFrame, value: Column | str, by: Sequence[str] = (), ra
     """Value cells with the counts below each value: ``value, n, _n, n_before, n_total, s_total, rows_total``.
 
     ``_n`` is 0 for the cell of missing values, so positions and totals concern known values only.
+    ``_range`` says which range of the sort a cell belongs to.
     """
     cells = value_cells(df, value, by).withColumn("_n", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
     return prefix_sums(
@@ -124,6 +142,7 @@ def ordered_cells(df: DataFrame, value: Column | str, by: Sequence[str] = (), ra
         {"n": F.col("_n"), "s": F.coalesce(F.col("value") * F.col("n"), F.lit(0.0)), "rows": F.col("n")},
         by,
         ranges,
+        keep_range=True,
     )
 
 

@@ -14,6 +14,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .appName("twosight")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Split a skewed join even where the next aggregate then needs its own shuffle.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
