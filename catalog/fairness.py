@@ -177,11 +177,11 @@ def _(spark, d):
 
 @query(
     "rank_sum_item_influence",
-    f"WITH {_ITEM}, " + q.rank_sum_sql("SELECT round(influence, 7) AS x, CASE WHEN grp = 'g0' THEN 1 ELSE 0 END AS a FROM iti")[5:],
+    f"WITH {_ITEM}, " + q.rank_sum_sql("SELECT round(influence + 1e-9, 7) AS x, CASE WHEN grp = 'g0' THEN 1 ELSE 0 END AS a FROM iti")[5:],
     ["long"],
 )
 def _(spark, d):
-    return ranks.rank_sum(_items(spark, d), F.round("influence", 7), "grp", "g0", "g1").drop("p")
+    return ranks.rank_sum(_items(spark, d), F.round(F.col("influence") + 1e-9, 7), "grp", "g0", "g1").drop("p")
 
 
 @query(

@@ -292,7 +292,7 @@ def _(spark, d):
     "spearman_influence_gap_by_sign",
     f"WITH {_NAI}, "
     + q.spearman_sql(
-        "SELECT sign(qp_r - qp_h) AS side, round(influence, 6) AS x, round(qp_r - qp_h, 6) AS y FROM nai WHERE qp_r <> qp_h", ["side"]
+        "SELECT CAST(sign(qp_r - qp_h) AS INTEGER) AS side, round(influence, 6) AS x, round(qp_r - qp_h, 6) AS y FROM nai WHERE qp_r <> qp_h", ["side"]
     )[5:],
     ["na"],
 )
