@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, tokens, urls
+from . import benchmark, language, mixing, neighbours, quality, tokens, urls
 
 #: The rules of the page filter: verdict, host, path.
 URL_RULES = [
@@ -67,3 +67,52 @@ from parts left join fits using (page_id, host, path)
 @query("op5_url_filter", URLS_SQL)
 def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+def crc_rest(divisor: int):
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+@query("op9_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"), learn=crc_rest(5) != 0, threshold=0.3)
+
+
+@query("op10_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    learn = F.coalesce(crc_rest(3) != 1, F.lit(False))
+    found = language.identify(docs.drop("lang"), language.train(docs, learn))
+    return found.select("doc_id", (~learn).alias("held_out"), "lang_pred", "score", "languages")
+
+
+#: Percent of an item's shingles that a document must hold, and words in a shingle.
+HELD_PERCENT, SHINGLE = 80, 5
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+BENCHMARK_SQL = f"""
+with items as (
+  select item_id, w, least(len(w), {SHINGLE}) as width from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0
+), item_shingles as (
+  select distinct item_id, width, array_to_string(w[i:i + width - 1], ' ') as s
+  from (select *, unnest(range(1, len(w) - width + 2)) as i from items)
+), doc_shingles as (
+  select distinct doc_id, array_to_string(w[i:i + width - 1], ' ') as s
+  from (select doc_id, width, w, unnest(range(1, len(w) - width + 2)) as i
+        from (select doc_id, {_WORDS} as w from documents), (select distinct width from items))
+), sizes as (select item_id, count(*) as item_shingles from item_shingles group by 1)
+select doc_id, item_id, item_shingles, count(*) as found
+from item_shingles join doc_shingles using (s) join sizes using (item_id)
+group by all having 100 * count(*) >= {HELD_PERCENT} * item_shingles
+"""
+
+
+@query("op7_decontaminate", BENCHMARK_SQL)
+def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = benchmark.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"), HELD_PERCENT, SHINGLE)
+    return found.select("doc_id", "item_id", "item_shingles", "found")
+
+
+@query("op8_nearest")
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
