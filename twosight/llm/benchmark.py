@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, words, written
+from .common import let, lower_ascii, words, written
 
 
 def shingles(w: Column, width: Column | int) -> Column:
@@ -25,7 +25,7 @@ def prepared(items: DataFrame, percent: int, n: int, id_col: str, text_col: str)
     band is the item's size class, a power of two.
     """
     rows = items.select(items[id_col].alias("item_id"), words(lower_ascii(items[text_col])).alias("_w")).where(F.size("_w") > 0)
-    rows = rows.withColumn("width", F.least(F.size("_w"), F.lit(n))).withColumn("item", shingles(F.col("_w"), F.col("width")))
+    rows = rows.withColumn("width", F.least(F.size("_w"), F.lit(n))).withColumn("item", let(F.col("_w"), lambda w: shingles(w, F.col("width"))))
     rows = rows.withColumn("size", F.size("item")).withColumn("need", F.ceil(F.col("size") * percent / 100).cast("int"))
     hashes = F.array_sort(F.transform("item", lambda x: F.xxhash64(x)))
     rows = rows.withColumn("sketch", F.slice(hashes, F.lit(1), F.col("size") - F.col("need") + 1))
@@ -78,8 +78,9 @@ def contained(
     kept = ready.select("item_id", "width", "item", "size", "need")
     pairs = rows.join(candidates, "text_key").join(kept, "item_id")
     # A document may meet another item of the same id only if ids repeat; every item is then compared for itself.
-    pairs = pairs.withColumn("found", F.size(F.array_intersect("item", shingles(words(lower_ascii(F.col("text"))), F.col("width")))))
-    return pairs.where("found >= need").select("doc_id", "item_id", F.col("size").alias("item_shingles"), "found", "text_key")
+    held = let(words(lower_ascii(F.col("text"))), lambda w: F.size(F.array_intersect("item", shingles(w, F.col("width")))))
+    pairs = pairs.withColumn("found", F.explode(let(held, lambda x: F.filter(F.array(x), lambda y: y >= F.col("need")))))
+    return pairs.select("doc_id", "item_id", F.col("size").alias("item_shingles"), "found", "text_key")
 
 
 def without(docs: DataFrame, items: DataFrame, percent: int = 80, n: int = 5, text_col: str = "text") -> DataFrame:

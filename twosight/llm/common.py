@@ -67,6 +67,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once per row. Inside a lambda Catalyst would compute it again for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """The frame written with a unique row number, so that rows keep their identity when ids repeat or are null."""
     return written(df.withColumn(name, F.monotonically_increasing_id()))
