@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark, language, mixing, neighbours, quality, tokens, urls
+from . import benchmark, language, mixing, neardup, neighbours, quality, tokens, urls
 
 #: The rules of the page filter: verdict, host, path.
 URL_RULES = [
@@ -116,3 +116,10 @@ def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_nearest")
 def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query("op3_near_duplicates")
+def near_duplicate_classes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = neardup.near_duplicates(docs, percent=85, n=3)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
