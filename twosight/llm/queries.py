@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark, language, mixing, neardup, neighbours, quality, tokens, urls
+from . import benchmark, language, licences, lines, mixing, neardup, neighbours, quality, tokens, urls
 
 #: The rules of the page filter: verdict, host, path.
 URL_RULES = [
@@ -123,3 +123,18 @@ def near_duplicate_classes(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = neardup.near_duplicates(docs, percent=85, n=3)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query("op4_licenses")
+def license_notices(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
+
+
+#: Words that a repeated run of lines must have to be deleted.
+RUN_WORDS = 5
+
+
+@query("op6_line_runs")
+def line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.without_repeats(table(spark, folder, "documents").select("doc_id", "text"), RUN_WORDS)
+    return found.select("doc_id", "n_lines", "removed_lines", "removed_runs", "text")
