@@ -31,7 +31,7 @@ def line_table(table: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     every = rows.join(placed, "_row").select("base", "end", F.posexplode("_lines").alias("_at", "_line"))
     every = written(every.select((F.col("base") + F.col("_at")).alias("pos"), "end", "_line.a", "_line.b", "_line.words"))
     first = every.groupBy("a", "b").agg(F.min("pos").alias("name"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    named = written(every.join(first, ["a", "b"]).select("pos", "end", "name", "words"))
+    named = written(every.join(first.hint("merge"), ["a", "b"]).select("pos", "end", "name", "words"))
     drop(rows)
     drop(every)
     return placed, named
@@ -111,7 +111,7 @@ def without_repeats(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     runs = repeated_runs(named, min_words)
     span = F.struct((F.col("pos") - F.col("base")).cast("int").alias("first"), F.col("length").cast("int").alias("length"))
     own = written(runs.join(placed, "end").groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("removed_runs")))
-    rows = table.join(own, "_row", "left").drop("_row")
+    rows = table.join(own.hint("merge"), "_row", "left").drop("_row")
     empty = F.array().cast(own.schema["removed_runs"].dataType)
     rows = rows.withColumn("removed_runs", F.coalesce("removed_runs", empty))
     schema = rows.withColumn("n_lines", F.lit(0)).withColumn("removed_lines", F.lit(0)).schema
