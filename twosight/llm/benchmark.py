@@ -76,7 +76,7 @@ def contained(
         candidates = candidates.unionByName(part)
     candidates = written(candidates.distinct())
     kept = ready.select("item_id", "width", "item", "size", "need")
-    pairs = rows.join(candidates, "text_key").join(kept, "item_id")
+    pairs = rows.join(candidates.hint("merge"), "text_key").join(kept, "item_id")
     # A document may meet another item of the same id only if ids repeat; every item is then compared for itself.
     held = let(words(lower_ascii(F.col("text"))), lambda w: F.size(F.array_intersect("item", shingles(w, F.col("width")))))
     pairs = pairs.withColumn("found", F.explode(let(held, lambda x: F.filter(F.array(x), lambda y: y >= F.col("need")))))
@@ -88,4 +88,4 @@ def without(docs: DataFrame, items: DataFrame, percent: int = 80, n: int = 5, te
     found = contained(docs.withColumn("_id", F.lit(0)), items, percent, n, id_col="_id", text_col=text_col)
     bad = written(found.select(F.col("text_key.a").alias("_a"), F.col("text_key.b").alias("_b")).distinct())
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.join(bad, (F.xxhash64(text) == F.col("_a")) & (F.xxhash64(F.lit(1), text) == F.col("_b")), "left_anti")
+    return docs.join(bad.hint("merge"), (F.xxhash64(text) == F.col("_a")) & (F.xxhash64(F.lit(1), text) == F.col("_b")), "left_anti")

@@ -173,7 +173,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataF
     """The pairs (a, b) of row numbers whose full shingle sets are similar. texts: _row, _text."""
     pairs = written(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
-    wanted = written(texts.join(wanted, "_row"))
+    wanted = written(texts.join(wanted.hint("merge"), "_row"))
     left, right = wanted.toDF("a", "_ta"), wanted.toDF("b", "_tb")
     both = pairs.join(left, "a").join(right, "b")
 
