@@ -18,8 +18,8 @@ from .common import drop, numbered, written
 MISS = 2e-6
 #: Bits of an odd sketch.
 BITS = 1024
-#: Members of a bucket that are compared with each other at a time.
-BLOCK = 128
+#: Members of a bucket in one block; two blocks meet in a task.
+BLOCK = 256
 #: Bytes of text whose words are hashed at a time.
 PIECE = 1 << 22
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -194,6 +194,68 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataF
     return out
 
 
+def compared_in_blocks(labelled: DataFrame, nodes: DataFrame, texts: DataFrame, plan: Plan, percent: int, n: int) -> DataFrame:
+    """Links (a, b) that join components within buckets. labelled: band, head, _row, root.
+
+    Of each bucket with several components, the members outside its largest component meet all its members, by blocks
+    of BLOCK; a task holds two blocks. A pair is looked at in the first band that it shares, if its roots differ and
+    its sketches are close enough; then its full shingle sets are compared. Only links that join two components not
+    joined before in that task leave it, fewer than the task has members.
+    """
+    counts = labelled.groupBy("band", "root").agg(F.count("*").alias("_c"))
+    counts = counts.groupBy("band").agg(F.sum("_c").alias("_all"), F.max("_c").alias("_most"), F.max_by("root", "_c").alias("major")).where("_most < _all and _all > 2")
+    counts = counts.select("band", "major", F.ceil(F.col("_all") / BLOCK).cast("int").alias("_right"), F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int").alias("_left"))
+    open_ = written(labelled.where("_row <> head").join(counts, "band"))
+    rows = nodes.join(open_.select("_row").distinct(), "_row")
+    rows = written(texts.join(rows.hint("merge"), "_row"))
+    block = lambda x: F.pmod(F.xxhash64("_row"), F.col(x)).cast("int")
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    left = open_.where("root <> major").withColumn("_l", block("_left")).withColumn("_r", every("_right")).withColumn("_side", F.lit(0))
+    right = open_.withColumn("_r", block("_right")).withColumn("_l", every("_left")).withColumn("_side", F.lit(1))
+    both = left.unionByName(right).select("band", "_l", "_r", "_side", "_row", "root", "major").join(rows, "_row")
+
+    def linked(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_row")
+        sides = frame["_side"].to_numpy()
+        own = frame.drop_duplicates("_row").reset_index(drop=True)
+        place = {r: i for i, r in enumerate(own["_row"])}
+        at = frame["_row"].map(place).to_numpy()
+        lefts, rights = at[sides == 0], at[sides == 1]
+        row, root = own["_row"].to_numpy(), own["root"].to_numpy()
+        bands, sketch = np.stack(own["_bands"].to_list()), np.stack(own["_sketch"].to_list()).view(_U)
+        numbers: dict[tuple, int] = {}
+        sets = [np.array([numbers.setdefault(s, len(numbers)) for s in shingle_words(t, n)], np.int64) for t in own["_text"]]
+        sizes = np.array([len(s) for s in sets])
+        band, major = frame["band"].iloc[0], frame["major"].iloc[0]
+        parent = {r: r for r in root.tolist()}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links, mark = [], np.zeros(len(numbers), bool)
+        for i in lefts:
+            js = rights[(root[rights] != root[i]) & ((root[rights] == major) | (row[rights] > row[i]))]
+            low, high = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
+            js = js[(low * 100 >= high * percent) & (np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= plan.limit)]
+            shared = bands[js] == bands[i]
+            js = js[bands[i][shared.argmax(axis=1)] == band] if len(js) else js
+            if not len(js):
+                continue
+            mark[sets[i]] = True
+            common = np.add.reduceat(mark[np.concatenate([sets[j] for j in js])], np.cumsum([0, *sizes[js]])[:-1], dtype=np.int64)
+            mark[sets[i]] = False
+            for j in js[common * 100 >= percent * (sizes[js] + sizes[i] - common)]:
+                x, y = find(root[i]), find(root[j])
+                if x != y:
+                    parent[x] = y
+                    links.append((row[i], row[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return written(both.groupBy("band", "_l", "_r").applyInPandas(linked, "a long, b long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) of the nodes of edges (a, b), root the smallest node of the component.
 
@@ -258,19 +320,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, rows: int =
 
     labelled = members.join(joined.withColumnRenamed("node", "_row"), "_row", "left").withColumn("root", F.coalesce("root", "_row"))
     labelled = written(labelled)
-    counts = labelled.groupBy("band", "root").agg(F.count("*").alias("_c"))
-    counts = counts.groupBy("band").agg(F.sum("_c").alias("_all"), F.max("_c").alias("_most"), F.max_by("root", "_c").alias("major")).where("_most < _all and _all > 2")
-    part = lambda x: F.ceil(F.col(x) / BLOCK).cast("int")
-    counts = counts.select("band", "major", part("_all").alias("_right"), F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int").alias("_left"))
-    open_ = written(labelled.where("_row <> head").join(counts, "band").join(thin, "_row"))
-    block = lambda x: F.pmod(F.xxhash64("_row"), F.col(x)).cast("int")
-    every = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
-    left = open_.where("root <> major").withColumn("_l", block("_left")).withColumn("_r", every("_right"))
-    right = open_.withColumn("_r", block("_right")).withColumn("_l", every("_left"))
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x._l") == F.col("y._l")) & (F.col("x._r") == F.col("y._r"))
-    other = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x._row") < F.col("y._row")))
-    late = left.alias("x").join(right.alias("y"), same & other & _close("x", "y", plan.limit, percent))
-    more = confirmed(late.select(F.col("x._row").alias("a"), F.col("y._row").alias("b")), texts, percent, n)
+    more = compared_in_blocks(labelled, nodes, texts, plan, percent, n)
     roots = written(components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     owned = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owned.groupBy("root").agg(F.min("first").alias("_first"))
