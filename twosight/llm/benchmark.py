@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, words, written
+from .common import let, lower_ascii, named, positional, words, written
 
 
 def shingles(w: Column, width: Column | int) -> Column:
@@ -48,13 +48,13 @@ def contained(
     Null and blank documents and items hold nothing. Repeated rows are found each; repeated items too. text_key is
     made from the text alone, two 64-bit hashes, and joins the result back to whole rows. Other columns are not returned.
     """
-    ready = written(prepared(items, percent, n, item_id_col, item_text_col))
+    ready = written(prepared(items, percent, n, item_id_col, item_text_col).withColumn("item_no", F.monotonically_increasing_id()))
     text = F.coalesce(docs[text_col], F.lit(""))
     key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
     rows = docs.select(docs[id_col].alias("doc_id"), key.alias("text_key"), docs[text_col].alias("text"))
     # At most n widths and 31 size classes.
     bounds = ready.groupBy("width", "band").agg(F.max(F.element_at("sketch", -1)).alias("most"), F.min("need").alias("need")).collect()
-    samples = ready.select("width", "item_id", "need", F.explode("sketch").alias("hash"))
+    samples = ready.select("width", "item_no", "need", F.explode("sketch").alias("hash"))
     samples = written(samples.coalesce(1) if not bounds else samples)
     parts = []
     split = rows.select("text_key", words(lower_ascii(F.col("text"))).alias("_w"))
@@ -68,16 +68,15 @@ def contained(
         for b in classes:
             able = able | ((F.col("hash") <= b["most"]) & (F.col("_n") >= b["need"]))
         found = hashed.where(able).join(samples.where(F.col("width") == width).drop("width"), "hash").where("_n >= need")
-        parts.append(found.select("text_key", "item_id"))
+        parts.append(found.select("text_key", "item_no"))
     if not parts:
-        parts.append(samples.select(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("text_key"), "item_id").limit(0))
+        parts.append(samples.select(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("text_key"), "item_no").limit(0))
     candidates = parts[0]
     for part in parts[1:]:
         candidates = candidates.unionByName(part)
     candidates = written(candidates.distinct())
-    kept = ready.select("item_id", "width", "item", "size", "need")
-    pairs = rows.join(candidates.hint("merge"), "text_key").join(kept, "item_id")
-    # A document may meet another item of the same id only if ids repeat; every item is then compared for itself.
+    kept = ready.select("item_no", "item_id", "width", "item", "size", "need")
+    pairs = rows.join(candidates.hint("merge"), "text_key").join(kept, "item_no")
     held = let(words(lower_ascii(F.col("text"))), lambda w: F.size(F.array_intersect("item", shingles(w, F.col("width")))))
     pairs = pairs.withColumn("found", F.explode(let(held, lambda x: F.filter(F.array(x), lambda y: y >= F.col("need")))))
     return pairs.select("doc_id", "item_id", F.col("size").alias("item_shingles"), "found", "text_key")
@@ -85,7 +84,9 @@ def contained(
 
 def without(docs: DataFrame, items: DataFrame, percent: int = 80, n: int = 5, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no item (see contained); empty texts stay."""
+    docs, names = positional(docs)
+    text_col = f"c{names.index(text_col)}"
     found = contained(docs.withColumn("_id", F.lit(0)), items, percent, n, id_col="_id", text_col=text_col)
     bad = written(found.select(F.col("text_key.a").alias("_a"), F.col("text_key.b").alias("_b")).distinct())
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.join(bad.hint("merge"), (F.xxhash64(text) == F.col("_a")) & (F.xxhash64(F.lit(1), text) == F.col("_b")), "left_anti")
+    return docs.join(bad.hint("merge"), (F.xxhash64(text) == F.col("_a")) & (F.xxhash64(F.lit(1), text) == F.col("_b")), "left_anti").select(*named(names))

@@ -72,6 +72,16 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The frame with columns c0, c1, ... and its names, so that no column can clash with an operator's own."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), df.columns
+
+
+def named(names: list[str]) -> list[Column]:
+    """The columns of positional() under their old names."""
+    return [F.col(f"c{i}").alias(name) for i, name in enumerate(names)]
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """The frame written with a unique row number, so that rows keep their identity when ids repeat or are null."""
     return written(df.withColumn(name, F.monotonically_increasing_id()))

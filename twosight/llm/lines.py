@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, drop, numbered, running_totals, written
+from .common import WORD, drop, named, numbered, positional, running_totals, written
 
 _BLANK = r"^[\x20\x09-\x0D]*\z"
 
@@ -105,10 +105,11 @@ def without_repeats(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     go is empty. Every row stays, repeated rows lose their lines like other copies. All columns are kept; columns of docs
     that have the names of the new ones are replaced.
     """
-    docs = docs.drop("n_lines", "removed_lines", "removed_runs")
+    docs, names = positional(docs.drop("n_lines", "removed_lines", "removed_runs"))
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     table = numbered(docs, "_row")
-    placed, named = line_table(table, id_col, text_col)
-    runs = repeated_runs(named, min_words)
+    placed, known = line_table(table, id_col, text_col)
+    runs = repeated_runs(known, min_words)
     span = F.struct((F.col("pos") - F.col("base")).cast("int").alias("first"), F.col("length").cast("int").alias("length"))
     own = written(runs.join(placed, "end").groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("removed_runs")))
     rows = table.join(own.hint("merge"), "_row", "left").drop("_row")
@@ -137,4 +138,4 @@ def without_repeats(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "n_lines", "removed_lines"])
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, schema).select(*named(names), "n_lines", "removed_lines", "removed_runs")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, numbered, written
+from .common import drop, named, numbered, positional, written
 
 #: Chance that a pair just at the threshold shares no band, and that its sketches differ too much: both bounds are about this.
 MISS = 2e-6
@@ -157,7 +157,7 @@ def sketched(docs: DataFrame, plan: Plan, n: int, text_col: str) -> DataFrame:
                 )
 
     empty = F.array().cast("array<bigint>")
-    schema = docs.select("*", F.lit(b"").alias("_key"), F.lit(0).cast("long").alias("n_shingles"), empty.alias("_bands"), empty.alias("_sketch")).schema
+    schema = docs.select("*", F.lit(None).cast("binary").alias("_key"), F.lit(0).cast("long").alias("n_shingles"), empty.alias("_bands"), empty.alias("_sketch")).schema
     return docs.mapInArrow(made, schema)
 
 
@@ -303,7 +303,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, rows: int =
     of the new ones are replaced.
     """
     plan = Plan(percent / 100, rows)
-    docs = docs.drop("n_shingles", "component_id", "representative")
+    docs, names = positional(docs.drop("n_shingles", "component_id", "representative"))
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     table = numbered(sketched(docs, plan, n, text_col), "_row")
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
     sets = written(table.where("_key is not null").groupBy("_key").agg(F.min("_row").alias("node"), F.min(first).alias("first")))
@@ -328,4 +329,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, rows: int =
     full = table.where("_key is not null").join(owned, "_key")
     bare = table.where("_key is null").withColumn("_first", first)
     out = full.unionByName(bare).withColumn("component_id", F.col("_first.id")).withColumn("representative", F.col("_first.row") == F.col("_row"))
-    return out.select(*docs.columns, "n_shingles", "component_id", "representative")
+    return out.select(*named(names), "n_shingles", "component_id", "representative")

@@ -165,7 +165,7 @@ def fit(rows: DataFrame, labels: DataFrame, learn: Column, most: int = FIT_ROWS,
     parts = []
     for k in (1, 0):
         found = joined.where(F.col("kind") == k).orderBy("_h", "x").limit(most).select("x").toPandas()
-        parts.append(np.array(found["x"].tolist(), float).reshape(len(found), -1))
+        parts.append(np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES)))
     return Classifier(*parts) if all(map(len, parts)) else None
 
 
@@ -182,7 +182,7 @@ def judge(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, -1)
+            x = np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, len(FEATURES))
             s = model.score(x) if model and batch.num_rows else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
