@@ -1,10 +1,11 @@
 """Joins, reshaping, unions and per-group selection on the raw tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from twosight.functions.nulls import char_length, row_min
-from twosight.operators import joins, ordered, reshape, summary
+from twosight.operators import joins, reshape, summary
 from twosight.sources import read_parquet
 
 
@@ -64,9 +65,9 @@ def _(spark, d):
     return read_parquet(spark, d, "customer", ["c_nationkey", "c_mktsegment"]).distinct()
 
 
-@query("set_difference", "SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 20", [])
+@query("set_difference", "SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49", [])
 def _(spark, d):
-    sold = read_parquet(spark, d, "lineitem", ["l_partkey", "l_quantity"]).where("l_quantity > 20")
+    sold = read_parquet(spark, d, "lineitem", ["l_partkey", "l_quantity"]).where("l_quantity > 49")
     return read_parquet(spark, d, "part").select(F.col("p_partkey").alias("key")).subtract(sold.select("l_partkey"))
 
 
@@ -103,8 +104,8 @@ def _(spark, d):
 )
 def _(spark, d):
     orders = read_parquet(spark, d, "orders", ["o_custkey", "o_orderkey", "o_totalprice"])
-    placed = ordered.ordered_position(orders, [F.col("o_totalprice").desc(), "o_orderkey"], ["o_custkey"])
-    return placed.where("n <= 2").select("o_custkey", "o_orderkey", "o_totalprice", F.col("n").cast("long").alias("n"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
+    return orders.withColumn("n", place).where("n <= 2").withColumn("n", F.col("n").cast("long"))
 
 
 @query(

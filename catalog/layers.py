@@ -51,12 +51,12 @@ def _(spark, d):
     _density_sql(
         "SELECT 'initial_diff' AS g, round(abs(qp_h - qp_r), 6) AS x FROM na UNION ALL SELECT 'final_diff', round(abs(qp_hr - qp_r), 6) FROM na", 0, 1
     )
-    + "SELECT g AS type, point::BIGINT AS point, round(xg, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k WHERE density > 0.001",
+    + "SELECT g AS type, point::BIGINT AS point, round(xg, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k",
     ["na"],
 )
 def _(spark, d):
     rows = impact.before_after(preparation.part_two(assess(spark, d), "No anchor"))
-    return layers.density(rows, F.round("value", 6), ["type"], limits=(0.0, 1.0)).where("density > 0.001")
+    return layers.density(rows, F.round("value", 6), ["type"], limits=(0.0, 1.0))
 
 
 @query(
@@ -64,13 +64,13 @@ def _(spark, d):
     _density_sql(
         """SELECT 1 AS g, round(avg(CASE WHEN abs(qp_h - qp_r) > 0.05::DOUBLE THEN (qp_hr - qp_h) / (qp_r - qp_h) END), 6) AS x FROM na GROUP BY id""", -0.5, 1
     )
-    + "SELECT point::BIGINT AS point, round(xg, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k WHERE density > 0.001",
+    + "SELECT point::BIGINT AS point, round(xg, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k",
     ["na"],
 )
 def _(spark, d):
     pair = impact.with_influence(preparation.part_two(assess(spark, d), "No anchor"))
     people = pair.groupBy("id").agg(F.round(F.avg("influence"), 6).alias("mean_influence"))
-    return layers.density(people, "mean_influence", limits=(-0.5, 1.0)).where("density > 0.001")
+    return layers.density(people, "mean_influence", limits=(-0.5, 1.0))
 
 
 @query(
@@ -86,12 +86,12 @@ def _(spark, d):
        k AS (SELECT qp_r_bin, setting, i AS point, lo + i * (hi - lo) / 511 AS x, bw, n,
              sum(w * exp(-0.5::DOUBLE * pow((i * (hi - lo) / 511 - node * (hi - lo) / 1023) / bw, 2))) / (n * bw * sqrt(2 * pi())) AS density
              FROM nd, s, range(512) t(i) GROUP BY qp_r_bin, setting, i, lo, hi, bw, n)
-       SELECT qp_r_bin, setting, point, round(x, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k WHERE density > 0.001""",
+       SELECT qp_r_bin, setting, point, round(x, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k""",
     ["long"],
 )
 def _(spark, d):
     rows = preparation.assisted(assess(spark, d)).withColumn("qp_r_bin", bin_floor("qp_r", 10))
-    return layers.ridges(rows, "qp", ["qp_r_bin", "setting"], limits=(0.0, 1.0)).where("density > 0.001")
+    return layers.ridges(rows, "qp", ["qp_r_bin", "setting"], limits=(0.0, 1.0))
 
 
 @query(

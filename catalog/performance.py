@@ -296,3 +296,29 @@ def _(spark, d):
 def _(spark, d):
     bundle = metrics.metric_bundle(preparation.assisted(assess(spark, d)), ["setting"])
     return ordered.category_order(bundle, "metric", F.avg("ord"))
+
+
+@query(
+    "rank_sum_stated_rank_lower_higher",
+    f"WITH {_AP}, "
+    + q.rank_sum_sql(
+        "SELECT set_q, rank AS x, CASE humanaccuracy_comparison WHEN 'Lower' THEN 1 WHEN 'Higher' THEN 0 END AS a FROM ap",
+        ["set_q"],
+    )[5:],
+    ["answers", "accset"],
+)
+def _(spark, d):
+    return ranks.rank_sum(_both(spark, d), "rank", "humanaccuracy_comparison", "Lower", "Higher", ["set_q"]).drop("p")
+
+
+@query(
+    "rank_sum_stated_rank_median_higher",
+    f"WITH {_AP}, "
+    + q.rank_sum_sql(
+        "SELECT set_q, rank AS x, CASE humanaccuracy_comparison WHEN 'Median' THEN 1 WHEN 'Higher' THEN 0 END AS a FROM ap",
+        ["set_q"],
+    )[5:],
+    ["answers", "accset"],
+)
+def _(spark, d):
+    return ranks.rank_sum(_both(spark, d), "rank", "humanaccuracy_comparison", "Median", "Higher", ["set_q"]).drop("p")

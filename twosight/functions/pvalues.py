@@ -44,8 +44,16 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = num * den
             total *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return total
+            return total
+    raise ArithmeticError(f"the continued fraction of I_{x}({a}, {b}) did not converge")
+
+
+def _gamma_step(a: float, b: float) -> float:
+    """log gamma(a + b) - log gamma(a). For b = 1/2 and large a by its asymptotic series: the difference of two
+    large logarithms would lose digits."""
+    if b == 0.5 and a > 100.0:
+        return 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)
+    return math.lgamma(a + b) - math.lgamma(a)
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -54,21 +62,38 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         return 0.0
     if x >= 1.0:
         return 1.0
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    log_front = _gamma_step(a, b) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     if x < (a + 1.0) / (a + b + 2.0):
         return math.exp(log_front) * _beta_fraction(a, b, x) / a
     return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def t_two_sided(t: float, dof: float) -> float:
+    if math.isinf(t):
+        return 0.0
+    if dof > 1e8 and t * t < 1e-3 * dof:
+        # Normal with two correction terms; what is left out is of order 1 / dof^2.
+        shrunk = t * (1 - (t * t + 1) / (4 * dof))
+        return normal_two_sided(shrunk)
     return incomplete_beta(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
+def _gamma_upper_large(a: float, y: float) -> float:
+    """Q(a, y) for large a by the uniform expansion around the normal; what is left out is of order a^(-3/2) / 100."""
+    mu = y / a - 1.0
+    half = mu * mu * (0.5 - mu * (1 / 3 - mu * (0.25 - mu / 5))) if abs(mu) < 1e-3 else mu - math.log1p(mu)
+    eta = math.copysign(math.sqrt(2.0 * half), mu)
+    first = -1 / 3 + eta / 12 - 2 * eta * eta / 135 if abs(eta) < 1e-2 else 1 / mu - 1 / eta
+    return 0.5 * math.erfc(eta * math.sqrt(a / 2.0)) + math.exp(-a * half) / math.sqrt(2.0 * math.pi * a) * first
+
+
 def chi2_upper(x: float, dof: float) -> float:
     """Upper tail of chi-square: regularised upper incomplete gamma Q(dof/2, x/2)."""
     if x <= 0.0:
         return 1.0
     a, y = dof / 2.0, x / 2.0
+    if a > 1e5:
+        return _gamma_upper_large(a, y)
     front = math.exp(-y + a * math.log(y) - math.lgamma(a))
     if y < a + 1.0:
         term = total = 1.0 / a
@@ -90,8 +115,8 @@ def chi2_upper(x: float, dof: float) -> float:
         c = c if abs(c) > _TINY else _TINY
         h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"the continued fraction of Q({a}, {y}) did not converge")
 
 
 def _apply(fn, *series: pd.Series) -> pd.Series:

@@ -17,16 +17,16 @@ AGE_TOP = "79+"
 DEGREE_PATTERN = "Associate|Bachelor|Graduate"
 REGIONS = {
     "northeast": [
-        "Connecticut", "Maine", "Massachusetts", "New Hampshire", "New Jersey", "New York", "Pennsylvania",
-        "Rhode Island", "Vermont",
+        "Connecticut", "Maine", "Massachusetts", "New Hampshire", "Rhode Island", "Vermont", "New York", "New Jersey",
+        "Pennsylvania",
     ],
     "midwest": [
-        "Illinois", "Indiana", "Iowa", "Kansas", "Michigan", "Minnesota", "Missouri", "Nebraska", "North Dakota",
-        "Ohio", "South Dakota", "Wisconsin",
+        "Illinois", "Indiana", "Michigan", "Ohio", "Wisconsin", "Iowa", "Kansas", "Minnesota", "Missouri", "Nebraska",
+        "North Dakota", "South Dakota",
     ],
     "west": [
-        "Alaska", "Arizona", "California", "Colorado", "Hawaii", "Idaho", "Montana", "Nevada", "New Mexico", "Oregon",
-        "Utah", "Washington", "Wyoming",
+        "Arizona", "Colorado", "Idaho", "Montana", "Nevada", "New Mexico", "Utah", "Wyoming", "Alaska", "California",
+        "Hawaii", "Oregon", "Washington",
     ],
 }
 RFEL = "RFEL"

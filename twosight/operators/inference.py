@@ -56,7 +56,9 @@ def paired_t(df: DataFrame, a: Column | str, b: Column | str, by: Sequence[str]
 
 
 def correlation_t(r: Column, n: Column) -> Column:
-    return r * F.sqrt(F.try_divide(n - 2, 1 - r * r))
+    """t of a correlation; infinite for a perfect one of more than two pairs."""
+    whole = (F.abs(r) >= 1) & (n > 2)
+    return F.when(whole, F.signum(r) * float("inf")).otherwise(r * F.sqrt(F.try_divide(n - 2, 1 - r * r)))
 
 
 def pearson_test(df: DataFrame, x: Column | str, y: Column | str, by: Sequence[str] = ()) -> DataFrame:

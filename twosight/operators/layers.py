@@ -85,7 +85,10 @@ def _grid_density(
     last = F.least(F.floor((centre + reach) / step), F.lit(points - 1))
     near = nodes.where((F.col("w") > 0) & (first <= last)).withColumn("point", F.explode(F.sequence(first, last)))
     u = (F.col("point") * step - centre) / F.col("bw")
-    height = F.sum(F.col("w") * F.exp(-0.5 * u * u)) / (F.col("_total") * F.col("bw") * math.sqrt(2 * math.pi))
+    near = near.select(*by, *info, "point", (F.col("w") * F.exp(-0.5 * u * u)).alias("_h"))
+    grid = stats.select(*by, "_from", "_to", "bw", "_total").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)).cast("array<bigint>")))
+    near = near.unionByName(grid.select(*by, *info, "point", F.lit(0.0).alias("_h")))
+    height = F.sum("_h") / (F.col("_total") * F.col("bw") * math.sqrt(2 * math.pi))
     return (
         near.groupBy(*by, *info, "point").agg(height.alias("density"))
         .select(*by, "point", (F.col("_from") + F.col("point") * step).alias("x"), "density", "bw", F.col("_total").cast("long").alias("n"))
@@ -108,7 +111,7 @@ def density(
 
     The grid spans the limits, or else the range of all values, widened by ``pad`` bandwidths.
     ``shared_bandwidth`` uses the mean of the groups' bandwidths for all of them (ridge plots).
-    Grid points more than nine bandwidths from any value have density 0 and are left out.
+    Every group has all its grid points; those more than nine bandwidths from any value have density 0.
     """
     keys = list(by)
     x = within_limits(df.select(*keys, col(value).cast("double").alias("value")), "value", limits)

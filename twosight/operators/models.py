@@ -15,6 +15,8 @@ from twosight.functions.pvalues import normal_two_sided
 from twosight.operators.joins import with_group_stat
 from twosight.session import stable
 
+#: Steps of a logistic fit; one that needs more raises.
+MAX_STEPS = 50
 MAX_LEVELS = 1000
 
 
@@ -216,8 +218,10 @@ def fit_patterns(cells: DataFrame, terms: Sequence[str]) -> LogitFit:
     rows = cells.select(*names, (F.col("_n1") / n).alias("_y"), n.alias("_w"))
     rows = VectorAssembler(inputCols=names, outputCol="_x").transform(rows)
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_x", labelCol="_y", weightCol="_w", tol=1e-12, maxIter=50
+        family="binomial", link="logit", featuresCol="_x", labelCol="_y", weightCol="_w", tol=1e-12, maxIter=MAX_STEPS
     ).fit(rows)
+    if model.summary.numIterations >= MAX_STEPS:
+        raise ArithmeticError(f"the logistic fit did not converge in {MAX_STEPS} steps")
     beta = np.array([model.intercept, *model.coefficients.toArray()])
     errors = model.summary.coefficientStandardErrors
     se = np.array([errors[-1], *errors[:-1]])
