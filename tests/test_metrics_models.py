@@ -181,7 +181,28 @@ def test_logit_of_few_heavy_patterns(spark):
     np.testing.assert_allclose(models.fit_patterns(rows, ["x"]).beta, beta, rtol=1e-8)
 
 
-def test_too_many_levels_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(models, "MAX_LEVELS", 3)
-    with pytest.raises(ValueError):
-        models.levels_of(spark.range(5).select(F.col("id").cast("string").alias("g")), "g")
+def test_logit_of_many_levels(spark):
+    """A model of levels alone has the logits of their shares; its robust errors are then the plain ones."""
+    levels = [(f"v{i:05d}", 1 + i % 7, 1 + i % 5) for i in range(300)]
+    rows = [(g, y) for g, a, b in levels for y in [1] * a + [0] * b]
+    df = spark.createDataFrame(rows, "g string, y int")
+    fit = models.fit_patterns(models.patterns(df, "y", [], "g"), [], "g")
+    assert fit.terms == ["(Intercept)", *[f"g{g}" for g, _, _ in levels[1:]]]
+    logits = np.log([a / b for _, a, b in levels])
+    np.testing.assert_allclose(fit.beta, np.r_[logits[0], logits[1:] - logits[0]], atol=1e-8)
+    variance = np.array([1 / a + 1 / b for _, a, b in levels])
+    np.testing.assert_allclose(fit.se, np.sqrt(np.r_[variance[0], variance[1:] + variance[0]]), rtol=1e-6)
+    np.testing.assert_allclose(fit.robust().toPandas().std_error, fit.se, rtol=1e-6)
+
+
+def test_logit_interaction_of_three_levels(spark, frame):
+    three = frame.assign(g=np.where(frame.qb == 1, "c", frame.g))
+    columns = [np.ones(len(three)), three.qp.to_numpy()]
+    columns += [(three.g == v).astype(float).to_numpy() for v in "bc"]
+    columns += [columns[1] * c for c in columns[2:4]]
+    beta, se, robust = newton(np.column_stack(columns), three.outcome.to_numpy())
+    fit = models.fit_logit(spark.createDataFrame(three), "outcome", ["qp"], "g", True)
+    assert fit.terms == ["(Intercept)", "qp", "gb", "gc", "qp:gb", "qp:gc"]
+    np.testing.assert_allclose(fit.beta, beta, rtol=1e-6)
+    np.testing.assert_allclose(fit.se, se, rtol=1e-6)
+    np.testing.assert_allclose(fit.robust().toPandas().std_error, robust, rtol=1e-6)

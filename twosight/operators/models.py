@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,6 @@ from twosight.session import stable
 
 #: Steps of a logistic fit; one that needs more raises.
 MAX_STEPS = 50
-MAX_LEVELS = 1000
 
 
 # --- operating points -------------------------------------------------------------------------
@@ -131,34 +130,19 @@ def add_rethresholded(
 # --- logistic regression ----------------------------------------------------------------------
 
 
-def levels_of(df: DataFrame, column: str) -> list:
-    """Sorted levels of a category, at most ``MAX_LEVELS``."""
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
-    return sorted(found)
-
-
-def design(
-    df: DataFrame, numeric: Sequence[str] = (), category: str | None = None, interact: bool = False
-) -> dict[str, Column]:
-    """Design terms: numeric columns, 0/1 columns for every level but the alphabetically first,
-    and, if asked, their products."""
-    terms: dict[str, Column] = {c: F.col(c).cast("double") for c in numeric}
-    if category is not None:
-        dummies = {f"{category}{v}": (F.col(category) == v).cast("double") for v in levels_of(df, category)[1:]}
-        crossed = {f"{c}:{d}": terms[c] * x for c in numeric for d, x in dummies.items()} if interact else {}
-        terms = {**terms, **dummies, **crossed}
-    return terms
-
-
-def patterns(df: DataFrame, y: Column | str, terms: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+def patterns(
+    df: DataFrame, y: Column | str, numeric: Sequence[str] = (), category: str | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """One row per distinct covariate pattern with the counts of y = 1 and y = 0, written once.
 
-    The fit and the robust errors read this frame many times; the source is scanned only once.
+    ``_t0, _t1, ...`` hold the numeric covariates, ``_c`` the category as text. The fit and the robust
+    errors read this frame many times; the source is scanned only once.
     """
-    names = [f"_t{i}" for i in range(len(terms))]
-    rows = df.select(*by, col(y).cast("int").alias("_y"), *[c.alias(n) for n, c in zip(names, terms.values())])
+    terms = [F.col(c).cast("double").alias(f"_t{i}") for i, c in enumerate(numeric)]
+    if category is not None:
+        terms.append(F.col(category).cast("string").alias("_c"))
+    rows = df.select(*by, col(y).cast("int").alias("_y"), *terms)
+    names = [c for c in rows.columns if c not in (*by, "_y")]
     return stable(
         rows.dropna(subset=["_y", *names]).groupBy(*by, *names)
         .agg(count_if(F.col("_y") == 1).alias("_n1"), count_if(F.col("_y") == 0).alias("_n0"))
@@ -166,7 +150,8 @@ def patterns(df: DataFrame, y: Column | str, terms: dict[str, Column], by: Seque
 
 
 class LogitFit:
-    """A fitted model: term names, estimates, classical covariance, and its covariate patterns."""
+    """A fitted model: term names, estimates, classical errors, and its covariate patterns with their
+    non-zero design entries ``_e`` (place of the term, value) and fitted probability ``_mu``."""
 
     def __init__(self, terms: list[str], beta: np.ndarray, se: np.ndarray, cells: DataFrame):
         self.terms, self.beta, self.se, self.cells = terms, beta, se, cells
@@ -189,43 +174,83 @@ class LogitFit:
         return self._table(np.sqrt(np.diag(inverse @ meat @ inverse)))
 
     def _cross_products(self) -> tuple[np.ndarray, np.ndarray]:
-        """X'WX and the sum of squared scores: p(p+1)/2 sums each, in one aggregate."""
-        p = len(self.terms)
-        x = [F.lit(1.0), *[F.col(f"_t{i}") for i in range(p - 1)]]
-        eta = sum((float(b) * c for b, c in zip(self.beta[1:], x[1:])), F.lit(float(self.beta[0])))
-        mu = 1 / (1 + F.exp(-eta))
+        """X'WX and the sum of squared scores, from the pairs of a pattern's non-zero entries.
+
+        A pattern has few of them however many levels there are; the driver gets the p x p sums."""
+        mu = F.col("_mu")
         w = (F.col("_n1") + F.col("_n0")) * mu * (1 - mu)
         r = F.col("_n1") * (1 - mu) * (1 - mu) + F.col("_n0") * mu * mu
-        cells = self.cells.withColumns({"_w": w, "_r": r})
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        sums = [F.sum(F.col(s) * x[i] * x[j]).alias(f"{s}{i}_{j}") for s in ("_w", "_r") for i, j in pairs]
-        row = cells.agg(*sums).first()
-        out = []
-        for s in ("_w", "_r"):
-            m = np.zeros((p, p))
-            for i, j in pairs:
-                m[i, j] = m[j, i] = row[f"{s}{i}_{j}"]
-            out.append(m)
-        return out[0], out[1]
-
-
-def fit_patterns(cells: DataFrame, terms: Sequence[str]) -> LogitFit:
-    """Binomial GLM with logit link on covariate patterns; the optimiser runs as Spark jobs over them."""
-    names = [f"_t{i}" for i in range(len(terms))]
+        one = self.cells.select(w.alias("_w"), r.alias("_r"), "_e", F.explode("_e").alias("a"))
+        two = one.select("_w", "_r", "a", F.explode("_e").alias("b")).where("a.i <= b.i")
+        product = F.col("a.x") * F.col("b.x")
+        sums = two.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j"))
+        sums = sums.agg(F.sum(F.col("_w") * product).alias("w"), F.sum(F.col("_r") * product).alias("r"))
+        bread, meat = np.zeros((2, len(self.terms), len(self.terms)))
+        for i, j, a, b in sums.collect():
+            bread[i, j] = bread[j, i] = a
+            meat[i, j] = meat[j, i] = b
+        return bread, meat
+
+
+def _entries(numeric: int, levels: int, interact: bool) -> Column:
+    """The non-zero design entries of a pattern: intercept, numeric terms, its level, and their products.
+
+    Level number ``_i`` counts down from the last in code-point order; number ``levels - 1``, the first, is the base.
+    """
+    def entry(place, value) -> Column:
+        return F.struct(place.cast("int").alias("i"), value.alias("x"))
+
+    values = [F.col(f"_t{k}") for k in range(numeric)]
+    plain = F.array(entry(F.lit(0), F.lit(1.0)), *[entry(F.lit(k + 1), v) for k, v in enumerate(values)])
+    if levels < 2:
+        return plain
+    at = F.lit(levels - 2) - F.col("_i")
+    own = [entry(at + 1 + numeric, F.lit(1.0))]
+    if interact:
+        own += [entry(at + 1 + numeric + (k + 1) * (levels - 1), v) for k, v in enumerate(values)]
+    return F.when(F.col("_i") < levels - 1, F.concat(plain, F.array(*own))).otherwise(plain)
+
+
+def fit_patterns(cells: DataFrame, numeric: Sequence[str], category: str | None = None, interact: bool = False) -> LogitFit:
+    """Binomial GLM with logit link on covariate patterns; the optimiser runs as Spark jobs over them.
+
+    A category is one sparse vector: a 0/1 term for every level but the first in code-point order and, if
+    asked, its products with the numeric terms. The number of levels has no bound here; the GLM itself
+    raises beyond the number of terms that it can solve for.
+    """
+    names = [f"_t{i}" for i in range(len(numeric))]
+    parts, levels = list(names), []
+    if category is not None:
+        index = StringIndexer(inputCol="_c", outputCol="_i", stringOrderType="alphabetDesc").fit(cells)
+        levels = list(reversed(index.labels))
+        cells = index.transform(cells)
+        if len(levels) > 1:
+            cells = OneHotEncoder(inputCols=["_i"], outputCols=["_level"]).fit(cells).transform(cells)
+            parts.append("_level")
+            for n in names if interact else []:
+                cells = Interaction(inputCols=[n, "_level"], outputCol=f"{n}_level").transform(cells)
+                parts.append(f"{n}_level")
+    dummies = [f"{category}{v}" for v in levels[1:]]
+    terms = ["(Intercept)", *numeric, *dummies, *[f"{c}:{d}" for c in numeric if interact for d in dummies]]
     # One row per pattern with its share of positives: the optimiser then starts from those shares.
     # (0/1 rows with large weights would start it far away, where Newton steps can diverge.)
     n = (F.col("_n1") + F.col("_n0")).cast("double")
-    rows = cells.select(*names, (F.col("_n1") / n).alias("_y"), n.alias("_w"))
-    rows = VectorAssembler(inputCols=names, outputCol="_x").transform(rows)
+    rows = cells.withColumns({"_y": F.col("_n1") / n, "_w": n, "_e": _entries(len(names), len(levels), interact)})
+    rows = VectorAssembler(inputCols=parts, outputCol="_x").transform(rows)
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_x", labelCol="_y", weightCol="_w", tol=1e-12, maxIter=MAX_STEPS
+        family="binomial", link="logit", featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_mu", tol=1e-12, maxIter=MAX_STEPS
     ).fit(rows)
     if model.summary.numIterations >= MAX_STEPS:
         raise ArithmeticError(f"the logistic fit did not converge in {MAX_STEPS} steps")
-    beta = np.array([model.intercept, *model.coefficients.toArray()])
     errors = model.summary.coefficientStandardErrors
-    se = np.array([errors[-1], *errors[:-1]])
-    return LogitFit(["(Intercept)", *terms], beta, se, cells)
+    # The encoder counts levels down from the last; the terms run upwards.
+    place = [0, *range(1, len(names) + 1)]
+    for block in range(1 + interact * len(names) if dummies else 0):
+        start = 1 + len(names) + block * len(dummies)
+        place += range(start + len(dummies) - 1, start - 1, -1)
+    beta = np.array([model.intercept, *model.coefficients.toArray()])[place]
+    se = np.array([errors[-1], *errors[:-1]])[place]
+    return LogitFit(terms, beta, se, model.transform(rows).select("_n1", "_n0", "_e", "_mu"))
 
 
 def fit_logit(
@@ -235,8 +260,7 @@ def fit_logit(
     category: str | None = None,
     interact: bool = False,
 ) -> LogitFit:
-    terms = design(df, numeric, category, interact)
-    return fit_patterns(patterns(df, y, terms), list(terms))
+    return fit_patterns(patterns(df, y, numeric, category), numeric, category, interact)
 
 
 def logit(df: DataFrame, y: Column | str, numeric: Sequence[str] = (), category: str | None = None, interact: bool = False) -> DataFrame:

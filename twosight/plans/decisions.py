@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twosight.functions.nulls import round_even
 from twosight.functions.recodes import human_or_model, present, prior_score_label, prior_score_number
 from twosight.operators.joins import attach, join_on, with_group_stat
-from twosight.operators.models import apply_threshold, design, fit_patterns, match_threshold, patterns
+from twosight.operators.models import apply_threshold, fit_patterns, match_threshold, patterns
 from twosight.operators.reshape import append
 from twosight.plans.preparation import everyone_long
 
@@ -63,9 +63,8 @@ def three_actor_coefficients(rows: DataFrame) -> DataFrame:
     """
     reg = regression_rows(rows)
     x = ["prs", "ogs"]
-    terms = design(reg, x)
-    answers = patterns(reg, "qb", terms, by=["type"])
-    items = patterns(reg.select("index", "incar", *x).distinct(), "incar", terms)
+    answers = patterns(reg, "qb", x, by=["type"])
+    items = patterns(reg.select("index", "incar", *x).distinct(), "incar", x)
     actors = {
         "Human": answers.where(F.col("type") == "h"),
         "RAI": answers.where(F.col("type") == "r"),
