@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop, written
+
 #: n-gram buckets (a power of two), and the languages a model may hold: the model has BUCKETS * 4 bytes per language.
 BUCKETS, MOST_LANGUAGES = 1 << 16, 256
 #: Characters taken together; a longer text is counted in pieces of this size.
@@ -72,6 +74,7 @@ class Model:
     """Log-smoothed trigram shares: languages in code-point order, shares[bucket, language]."""
 
     def __init__(self, counts: DataFrame):
+        counts = written(counts)
         names = [r[0] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
         if len(names) > MOST_LANGUAGES:
             raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would not fit a broadcast")
@@ -80,6 +83,7 @@ class Model:
         # A language holds at most BUCKETS rows, so this is bounded by the model itself.
         for part in counts.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).toLocalIterator():
             shares[np.array(part["at"]), self.names.index(part["lang"])] += 2.0 * np.array(part["n"])
+        drop(counts)
         self.shares = (shares / shares.sum(axis=0)).astype(np.float32)
 
 
