@@ -107,6 +107,7 @@ def infer(counts: list[np.ndarray], shares: np.ndarray, penalty: float, most: in
 
     EM over all languages orders them for each text; the sets of its 1, 2, ... most likely ones are fitted anew, and
     the one with the best log-likelihood less penalty * (languages - 1) * log(n-grams) is kept; of equals the smaller.
+    Larger sets are fitted only for texts in which a bound on every mixture's likelihood lets one of them win.
     """
     at = [np.flatnonzero(c) for c in counts]
     starts = np.cumsum([0, *map(len, at)])[:-1]
@@ -114,18 +115,26 @@ def infer(counts: list[np.ndarray], shares: np.ndarray, penalty: float, most: in
     n = np.concatenate([c[x] for c, x in zip(counts, at, strict=True)]).astype(np.float32)
     p = shares[np.concatenate(at)]
     every = np.ones((len(counts), shares.shape[1]), np.float32)
-    first, _ = _fit(p, n, owner, starts, every, rounds)
+    first, reached = _fit(p, n, owner, starts, every, rounds)
     place = np.argsort(np.argsort(-first, axis=1, kind="stable"), axis=1)
-    size = np.log(np.add.reduceat(n, starts))
-    best, best_value = None, None
-    for k in range(1, min(most, shares.shape[1]) + 1):
-        weight, value = _fit(p, n, owner, starts, (place < k).astype(np.float32), 1 if k == 1 else rounds)
-        value = value - penalty * (k - 1) * size
-        if best is None:
-            best, best_value = weight, value
-            continue
-        better = value > best_value
-        best[better], best_value[better] = weight[better], value[better]
+    total = np.add.reduceat(n, starts)
+    size = np.log(total)
+    best, best_value = _fit(p, n, owner, starts, (place < 1).astype(np.float32), 1)
+    # By Jensen's inequality no mixture exceeds the one reached by more than total * log(largest mean of p over it).
+    over = p * (n / np.einsum("ij,ij->i", p, first[owner]))[:, None]
+    gap = total * np.log(np.add.reduceat(over, starts, axis=0).max(axis=1) / total)
+    open_ = reached + np.maximum(gap, 0) + 1e-5 * np.abs(reached) - penalty * size > best_value
+    for k in range(2, min(most, shares.shape[1]) + 1):
+        some = np.flatnonzero(open_)
+        if not len(some):
+            break
+        held = open_[owner]
+        new = np.repeat(np.arange(len(some)), [len(at[i]) for i in some])
+        own = np.r_[0, np.flatnonzero(np.diff(new)) + 1]
+        weight, value = _fit(p[held], n[held], new, own, (place[some] < k).astype(np.float32), rounds)
+        value = value - penalty * (k - 1) * size[some]
+        better = value > best_value[some]
+        best[some[better]], best_value[some[better]] = weight[better], value[better]
     return best
 
 
