@@ -28,7 +28,7 @@ def gram_counts(text: str | None) -> np.ndarray | None:
     """Counts of a text's letter trigrams by bucket; null if it has no letter. What is no letter counts as one blank."""
     if not text:
         return None
-    total, found, carry = np.zeros(BUCKETS, np.int64), False, np.zeros(0, np.uint32)
+    total, found, carry = None, False, np.zeros(0, np.uint32)
     for at in range(0, len(text), PIECE):
         codes = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[codes]
@@ -39,7 +39,8 @@ def gram_counts(text: str | None) -> np.ndarray | None:
         if len(codes) > 2:
             mixed = codes[:-2] * np.uint32(0x9E3779B1) ^ codes[1:-1] * np.uint32(0x85EBCA6B) ^ codes[2:] * np.uint32(0xC2B2AE35)
             mixed ^= mixed >> np.uint32(15)
-            total += np.bincount((mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(16), minlength=BUCKETS)
+            counted = np.bincount((mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(16), minlength=BUCKETS)
+            total = counted if total is None else total + counted
         carry = codes[-2:]
     return total if found else None
 
@@ -91,15 +92,14 @@ def _fit(p: np.ndarray, n: np.ndarray, owner: np.ndarray, starts: np.ndarray, us
     """EM for many texts at a time: p and n are an n-gram's shares and count, owner its text, use the languages allowed.
 
     Returns the proportions and the log-likelihood of each text."""
-    weight = use / use.sum(axis=1, keepdims=True)
-    weight = weight.astype(np.float32)
-    total = np.add.reduceat(n, starts).astype(np.float32)[:, None]
+    p, use = np.ascontiguousarray(p.T), use.T
+    weight = (use / use.sum(axis=0)).astype(np.float32)
+    total = np.add.reduceat(n, starts)
     for _ in range(rounds):
-        q = p * weight[owner]
-        q *= (n / q.sum(axis=1))[:, None]
-        weight = np.add.reduceat(q, starts, axis=0) / total
-    mixed = (p * weight[owner]).sum(axis=1)
-    return weight, np.add.reduceat(n * np.log(mixed), starts)
+        each = n / (p * weight[:, owner]).sum(axis=0)
+        weight = weight * np.add.reduceat(p * each, starts, axis=1) / total
+    mixed = (p * weight[:, owner]).sum(axis=0)
+    return weight.T.copy(), np.add.reduceat(n * np.log(mixed), starts)
 
 
 def infer(counts: list[np.ndarray], shares: np.ndarray, penalty: float, most: int, rounds: int) -> np.ndarray:
