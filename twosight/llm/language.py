@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def gram_counts(text: str | None) -> np.ndarray | None:
-    """Counts of a text's letter trigrams by bucket; null if it has no letter. What is no letter counts as one blank."""
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The buckets of a text's letter trigrams and their counts; null if it has no letter. What is no letter counts as one blank."""
     if not text:
         return None
     total, found, carry = None, False, np.zeros(0, np.uint32)
@@ -42,7 +43,10 @@ def gram_counts(text: str | None) -> np.ndarray | None:
             counted = np.bincount((mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(16), minlength=BUCKETS)
             total = counted if total is None else total + counted
         carry = codes[-2:]
-    return total if found else None
+    if not found:
+        return None
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -50,7 +54,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     rows = docs.where(learn & docs[lang_col].isNotNull()).select(docs[text_col].alias("text"), docs[lang_col].alias("lang"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
 
         def rows_of() -> Iterator[pa.RecordBatch]:
             for lang, total in held.items():
@@ -60,9 +64,9 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
 
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
-                if (n := gram_counts(text.as_py())) is not None:
-                    name = lang.as_py()
-                    held[name] = held[name] + n if name in held else n
+                if (grams := gram_counts(text.as_py())) is not None:
+                    at, n = grams
+                    held[lang.as_py()][at] += n
                     if len(held) > 64:
                         yield from rows_of()
         yield from rows_of()
@@ -102,17 +106,17 @@ def _fit(p: np.ndarray, n: np.ndarray, owner: np.ndarray, starts: np.ndarray, us
     return weight.T.copy(), np.add.reduceat(n * np.log(mixed), starts)
 
 
-def infer(counts: list[np.ndarray], shares: np.ndarray, penalty: float, most: int, rounds: int) -> np.ndarray:
+def infer(counts: list[tuple[np.ndarray, np.ndarray]], shares: np.ndarray, penalty: float, most: int, rounds: int) -> np.ndarray:
     """Proportions of the languages of each text, over the set of languages that wins.
 
     EM over all languages orders them for each text; the sets of its 1, 2, ... most likely ones are fitted anew, and
     the one with the best log-likelihood less penalty * (languages - 1) * log(n-grams) is kept; of equals the smaller.
     Larger sets are fitted only for texts in which a bound on every mixture's likelihood lets one of them win.
     """
-    at = [np.flatnonzero(c) for c in counts]
+    at = [buckets for buckets, _ in counts]
     starts = np.cumsum([0, *map(len, at)])[:-1]
     owner = np.repeat(np.arange(len(counts)), [len(x) for x in at])
-    n = np.concatenate([c[x] for c, x in zip(counts, at, strict=True)]).astype(np.float32)
+    n = np.concatenate([c for _, c in counts]).astype(np.float32)
     p = shares[np.concatenate(at)]
     every = np.ones((len(counts), shares.shape[1]), np.float32)
     first, reached = _fit(p, n, owner, starts, every, rounds)
