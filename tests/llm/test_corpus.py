@@ -129,6 +129,28 @@ def test_licenses(docs, none):
     assert licences.scan(none).count() == 0
 
 
+def test_license_windows(spark):
+    """An exact notice is found and exact whatever prose stands around it, over line ends, beside others and at any length."""
+    rng = np.random.default_rng(7)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
+    short = {name: of if isinstance(of, str) else of[0] for name, of in licences.TEMPLATES.items()}
+    cases, want = [], []
+    for name, notice in short.items():
+        for text in (f"{prose(6)} {notice} {prose(8)}", f"{prose(40)} {notice} {prose(900)}", f"{prose(3)}\n{notice.replace(' ', chr(10), 3)} {prose(5)}"):
+            want.append((len(cases), name, True))
+            cases.append(text)
+    assert ("MIT", True) in {x[1:] for x in want}
+    want += [(len(cases), "CC-BY-NC-4.0", True), (len(cases), "MIT", True), (len(cases) + 1, "MIT", False)]
+    cases += [f"{prose(4)} {short['MIT']} {short['CC-BY-NC-4.0']}", f"{prose(40)} released under the MIT License. {prose(70)}", f"{prose(300)} of the license and the License under", None, ""]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.exact) for r in rows) == sorted(want)
+    long = prose(200)
+    wrapped = "\n".join("# " + " ".join(long.split()[i : i + 12]) for i in range(0, 200, 12))
+    own = licences.scan(spark.createDataFrame([(1, f"x\n{prose(30)}\n{long} {prose(20)}"), (2, wrapped)], "doc_id long, text string"), {"own": long}).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.license, r.line, r.n_words, r.exact) for r in own] == [(1, "own", 2, 200, True), (2, "own", 0, 216, False)]
+    assert licences.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), {}).count() == 0
+
+
 def test_urls(spark):
     cases = {
         "http://A.Example.com/en/x?y": ("a.example.com", "/en/x", "example.com/en/", "block"), "https://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),

@@ -1,19 +1,19 @@
-"""Operator 4: license notices by conditional compression against templates."""
+"""Operator 4: license notices by windows of template words, conditional compression and the exact wording."""
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import repeat
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
-
 #: Short notices as their licenses word them.
-TEMPLATES = {
+TEMPLATES: dict[str, str | Sequence[str]] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -23,10 +23,8 @@ TEMPLATES = {
     "BSD": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: A block is looked at if it holds one of these.
-CUE = r"(?i)\b(licen[sc]e[ds]?|copyright|copyleft|spdx|creative commons|public domain|permission is hereby granted|CC BY)\b"
-#: Words in a block at most, and words by which blocks of a longer line overlap.
-BLOCK, OVERLAP = 64, 32
+#: Words compared with a template at a time; a longer stretch is compared in overlapping pieces.
+PIECE = 8192
 
 
 def packed(text: bytes, dictionary: zstandard.ZstdCompressionDict | None = None) -> int:
@@ -35,45 +33,140 @@ def packed(text: bytes, dictionary: zstandard.ZstdCompressionDict | None = None)
     return len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress(text))
 
 
-def differences(block: list[str], template: list[str]) -> tuple[int, int]:
-    """Words of the template that the best place in the block lacks, and words there that the template lacks."""
-    parts = difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks()[:-1]
-    common = sum(p.size for p in parts)
-    inside = parts[-1].b + parts[-1].size - parts[0].b if parts else 0
-    return len(template) - common, inside - common
+def places(ids: np.ndarray, template: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(differences, start, end) of the spans of ids that differ from the template by at most so many missing and added words.
+
+    The alignment with the fewest differences that ends at each word is found by dynamic programming, one row per word of
+    the template; of equals it starts last. Of overlapping spans the one with the fewest differences stays, then the longest.
+    """
+    n, unit = len(ids), len(ids) + 1
+    at = np.arange(n + 1, dtype=np.int64)
+    cost = n - at  # differences * unit + (n - start)
+    for word in template:
+        new = cost + unit
+        same = np.flatnonzero(ids == word) + 1
+        new[same] = np.minimum(new[same], cost[same - 1])
+        cost = np.minimum.accumulate(new - at * unit) + at * unit
+    found = [(int(cost[e]) // unit, n - int(cost[e]) % unit, int(e)) for e in np.flatnonzero(cost // unit <= most)]
+    return _apart(sorted((x for x in found if x[2] > x[1]), key=lambda x: (x[0], x[1] - x[2], x[1])), n)
+
+
+def _apart(found: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
+    used, out = np.zeros(n, bool), []
+    for x in found:
+        if not used[x[1] : x[2]].any():
+            used[x[1] : x[2]] = True
+            out.append(x)
+    return out
+
+
+class Scanner:
+    """Finds the notices in one text after the other. templates: license to the wording of its notice, or to several."""
+
+    def __init__(self, templates: Mapping[str, str | Sequence[str]], least: float, changed: float):
+        known = [(name, t.encode().split()) for name, of in sorted(templates.items()) for t in ([of] if isinstance(of, str) else of)]
+        known = [(name, w) for name, w in known if w]
+        self.names = [name for name, _ in known]
+        self.ids: dict[bytes, int] = {}
+        self.words = [np.array([self.ids.setdefault(x, len(self.ids)) for x in w]) for _, w in known]
+        self.dictionaries = [zstandard.ZstdCompressionDict(b" ".join(w), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, w in known]
+        self.most = [int(changed * len(w) + 1e-9) for w in self.words]
+        # One more column than words, for those that no template has.
+        self.held = np.array([np.bincount(w, minlength=len(self.ids) + 1) for w in self.words]).reshape(len(known), len(self.ids) + 1)
+        self.need = np.array([max(1, len(w) - m) for w, m in zip(self.words, self.most, strict=True)])
+        self.least, self.saved = least, {}
 
+    def reduction(self, t: int, span: bytes) -> float:
+        if (t, span) not in self.saved:
+            if len(self.saved) > 10_000:
+                self.saved.clear()
+            self.saved[t, span] = round(1 - packed(span, self.dictionaries[t]) / packed(span), 6)
+        return self.saved[t, span]
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.3, changed: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, line, block, license, reduction, missing, added, exact): the license notices of whole texts.
+    def stretches(self, ids: np.ndarray, t: int) -> Iterator[tuple[int, int]]:
+        """Stretches of words, PIECE long at most, that hold every span close enough to the template.
 
-    Lines, cut into overlapping blocks of words where they are long, are candidates if they hold a cue. Equal candidates
-    are judged once. Each is compressed alone and with each template as a raw dictionary; the templates are ranked by the
-    share of bytes saved, and the best one is confirmed by the exact wording: the words of the template that are missing
-    and those added between its first and last common word. It counts if at least `least` is saved and at most `changed`
-    of the template's words differ; of equal reductions the fewest differences, then the first name. exact: no difference.
+        Such a span has at most len + most words, of which len - most are the template's."""
+        wide, n = len(self.words[t]) + self.most[t], len(ids)
+        sums = np.r_[0, np.cumsum(self.held[t][ids] > 0)]
+        starts = np.arange(max(1, n - wide + 1))
+        starts = starts[sums[np.minimum(starts + wide, n)] - sums[starts] >= self.need[t]]
+        step = max(PIECE, 2 * wide) - wide
+        if len(starts):
+            cuts = np.flatnonzero(np.diff(starts) > wide) + 1
+            for part in np.split(starts, cuts):
+                for first in range(int(part[0]), int(part[-1]) + 1, step):
+                    yield first, min(first + step, int(part[-1]) + 1) - 1 + wide
 
-    Null and blank texts have no candidates. Repeated rows are reported each, as is each block of a long line. An empty
-    table gives no rows. Other columns are not returned.
+    def notices(self, text: str | None) -> list[tuple]:
+        """(line, word, n_words, license, reduction, missing, added) of the notices in the text, in its order."""
+        data = (text or "").encode("utf-8", "surrogatepass")
+        split = data.split()
+        ids = np.fromiter(map(self.ids.get, split, repeat(len(self.ids))), np.int64, len(split))
+        counts = np.bincount(ids, minlength=len(self.ids) + 1)
+        found = []
+        for t in np.flatnonzero(np.minimum(counts, self.held).sum(axis=1) >= self.need) if len(self.names) else ():
+            here = []
+            for first, last in self.stretches(ids, t):
+                here += [(d, first + s, first + e) for d, s, e in places(ids[first:last], self.words[t], self.most[t])]
+            size = len(self.words[t])
+            for d, s, e in _apart(sorted(set(here), key=lambda x: (x[0], x[1] - x[2], x[1])), len(ids)):
+                added = (d + e - s - size) // 2
+                saved = self.reduction(t, b" ".join(split[s:e]))
+                if d - added < size and saved >= self.least:
+                    found.append((s, e, self.names[t], saved, d - added, added, e - s - added - d))
+        kept: list[tuple] = []
+        over: dict[int, list[tuple]] = defaultdict(list)
+        for x in sorted(found, key=lambda x: (-x[6], -x[3], x[2], x[0])):
+            near = {y for k in range(x[0], x[1]) for y in over[k]}
+            if not any(2 * (min(x[1], y[1]) - max(x[0], y[0])) > min(x[1] - x[0], y[1] - y[0]) for y in near):
+                kept.append(x)
+                for k in range(x[0], x[1]):
+                    over[k].append(x)
+        offsets = _offsets(data, split) if kept else []
+        return [(data.count(b"\n", 0, offsets[s]), s, e - s, name, saved, missing, added) for s, e, name, saved, missing, added, _ in sorted(kept)]
+
+
+def _offsets(data: bytes, split: list[bytes]) -> list[int]:
+    out, at = [], 0
+    for w in split:
+        at = data.index(w, at)
+        out.append(at)
+        at += len(w)
+    return out
+
+
+def scan(docs: DataFrame, templates: Mapping[str, str | Sequence[str]] = TEMPLATES, least: float = 0.3, changed: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, line, word, n_words, license, reduction, missing, added, exact): the license notices of whole texts.
+
+    Windows over the words of a text, as long as each template with its allowed changes, are candidates if they hold enough
+    of its words; line feeds count as blanks, and what stands around a notice doesn't matter. In a candidate every span is
+    taken that differs from the template by at most `changed` of its words: missing ones, and those added between the first
+    and the last common word. The span, compressed alone and with the template as a raw dictionary, must save at least
+    `least` of its bytes. Where spans of several templates share more than half of the shorter one, the one with the most
+    common words less differences stays, then the greatest reduction, then the first name; all others are reported.
+    line (from 0) holds the span's first word, word is that word's place in the text. exact: no difference.
+
+    Null and blank texts have no candidates. Repeated rows are reported each. An empty table gives no rows. Other columns
+    are not returned.
     """
-    lines = docs.select(docs[id_col].alias("doc_id"), F.posexplode(F.split(docs[text_col], "\n")).alias("line", "_line")).where(F.col("_line").rlike(CUE))
-    split = lines.select("doc_id", "line", words(F.col("_line")).alias("_w"))
-    last = F.greatest(F.lit(0), F.ceil((F.size("_w") - OVERLAP) / (BLOCK - OVERLAP)).cast("int") - 1)
-    blocks = split.select("doc_id", "line", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("_w", i * (BLOCK - OVERLAP) + 1, BLOCK), " "))).alias("block", "_text"))
-    blocks = written(blocks.where(F.col("_text").rlike(CUE)))
-
-    def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = [(name, text.split(), zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in sorted(templates.items())]
-        for frame in frames:
-            out = []
-            for text in frame["_text"]:
-                alone = packed(text.encode())
-                ranked = sorted((-round(1 - packed(text.encode(), d) / alone, 6), sum(differences(text.split(), w)), name, w) for name, w, d in known)
-                if ranked and -ranked[0][0] >= least:
-                    missing, added = differences(text.split(), ranked[0][3])
-                    if missing + added <= changed * len(ranked[0][3]):
-                        out.append((text, ranked[0][2], -ranked[0][0], missing, added))
-            yield pd.DataFrame(out, columns=["_text", "license", "reduction", "missing", "added"])
-
-    found = blocks.select("_text").distinct().mapInPandas(judged, "_text string, license string, reduction double, missing int, added int")
-    out = blocks.join(written(found), "_text")
-    return out.select("doc_id", "line", "block", "license", "reduction", "missing", "added", ((F.col("missing") + F.col("added")) == 0).alias("exact"))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    schema = rows.select(
+        "doc_id", *(F.lit(0).alias(c) for c in ("line", "word", "n_words")), F.lit("").alias("license"), F.lit(0.0).alias("reduction"),
+        *(F.lit(0).alias(c) for c in ("missing", "added")), F.lit(True).alias("exact"),
+    ).schema
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(templates, least, changed)
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
+        for batch in batches:
+            own, out = [], []
+            for i, text in enumerate(batch.column(1)):
+                for notice in scanner.notices(text.as_py()):
+                    own.append(i)
+                    out.append((*notice, notice[-2] + notice[-1] == 0))
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *arrays], schema.names)
+
+    return rows.mapInArrow(judged, schema)
