@@ -151,6 +151,16 @@ def test_license_windows(spark):
     assert licences.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), {}).count() == 0
 
 
+def test_license_templates(spark):
+    """Every wording of the production templates, wrapped as in a source file, is found once under its own license."""
+    every = [(name, t) for name, of in licences.TEMPLATES.items() for t in ([of] if isinstance(of, str) else of)]
+    assert {"Permission", "Redistribution", "Licensed"} <= {t.split()[0] for _, t in every if len(t.split()) > 70}
+    cases = ["some words before\n" + "\n".join(" ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11)) + "\nand after it" for _, t in every]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.license, r.line, r.n_words, r.exact) for r in rows)
+    assert got == [(i, name, 1, len(t.split()), True) for i, (name, t) in enumerate(every)]
+
+
 def test_urls(spark):
     cases = {
         "http://A.Example.com/en/x?y": ("a.example.com", "/en/x", "example.com/en/", "block"), "https://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
