@@ -68,6 +68,32 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mix_pieces(docs, none):
+    """The written pieces are the mix: each slot holds a block of one source's words in order, as the documents have them."""
+    block = 16
+    rows = mixing.pieces(docs, block=block).collect()
+    assert rows == sorted(rows, key=lambda r: (r.slot, r.at))
+    texts = {}
+    for d in docs.collect():
+        texts.setdefault((d.doc_id, d.source), []).append(d.text or "")
+    for r in rows:
+        spans = [[m.span() for m in WORD.finditer(t)] for t in texts[r.doc_id, r.source]]
+        assert r.text in [t[s[r.first_word][0] : s[r.last_word][1]] for t, s in zip(texts[r.doc_id, r.source], spans) if len(s) > r.last_word]
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.slot, []).append(r)
+    ranks = {}
+    for slot in sorted(slots):
+        here = slots[slot]
+        assert len({(r.source, r.rank) for r in here}) == 1 and here[0].at == here[0].rank * block
+        assert all(b.at == a.at + a.last_word - a.first_word + 1 for a, b in zip(here, here[1:]))
+        ranks.setdefault(here[0].source, []).append(here[0].rank)
+    assert all(r == list(range(len(r))) for r in ranks.values())
+    report = mixing.mix(docs, block=block).toPandas()
+    assert sum(len(WORD.findall(r.text)) for r in rows) == report.taken.sum() and any("\n" in r.text for r in rows)
+    assert mixing.pieces(none).count() == 0
+
+
 def test_tokens(docs, none):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

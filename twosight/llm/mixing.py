@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_totals, written
+from .common import WORD, drop, let, running_totals, written
 
 #: Golden-ratio points in whole numbers: slot i lies at (i * STEP mod MODULUS) / MODULUS. MODULUS is prime, STEP its golden section.
 MODULUS, STEP = 2_147_483_647, 1_327_217_885
+_BLANK = r"[\x20\x09-\x0D]"
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -67,45 +68,98 @@ def schedule(spark: SparkSession, sources: DataFrame, n_slots: int, n_sources: i
     return ranked.select("source_no", "rank", "slot").unionByName(late.select("source_no", "rank", "slot"))
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
-    block: int = 1024, seed: int = 20240607, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, weight, target, taken, first_slot.
-
-    size is the number of words. Each source's documents are laid end to end in the order of a seeded hash and cut
-    into equal blocks of words; going round again, a block may run over the end into the start. Slot by slot the
-    schedule names a source, whose next block is taken; its last block is cut at the whole words of the target.
-    taken adds up the document's words in the taken blocks, repeats counted, and so never exceeds cap times its
-    size; first_slot is the first slot that takes any of them, null if none does.
-
-    Null and blank texts have size 0 and take nothing. Null is a source of its own, the last. Repeated rows and ids
-    are separate documents. An empty table gives no rows. Other columns of docs are not returned.
-    """
+def _laid(docs: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int, block: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """One row per document with its key (source, _h, doc_id, size) and place _start, and its source's row of the second frame."""
     if share > cap:
         raise ValueError("share can't exceed cap: the sources would not hold so many words")
-    spark = docs.sparkSession
-    text = docs[text_col]
-    sized = docs.select(
-        docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), docs[id_col], text).alias("_h"),
-    )
+    sized = _keyed(docs, seed, id_col, text_col, source_col).drop("text")
     order = [F.col("source").asc_nulls_last(), F.col("_h"), F.col("doc_id"), F.col("size")]
     laid = running_totals(sized, order, "size", "_start")
     sizes = laid.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_start").alias("_base"))
     quota = F.ceil(F.floor("target") / block).cast("long")
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     sources = written(targets(sizes, weights, share, cap).withColumn("quota", quota).withColumn("source_no", number))
-    n_slots, n_sources = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
-    slots = schedule(spark, sources.select("source_no", "target", "quota"), int(n_slots), int(n_sources))
     placed = written(laid.join(sources, laid["source"].eqNullSafe(sources["source"])).drop(sources["source"]))
+    drop(laid)
+    return placed, sources
+
+
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    text = docs[text_col]
+    return docs.select(
+        docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), docs[id_col], text).alias("_h"), text.alias("text"),
+    )
+
+
+def _pieces(docs: DataFrame, placed: DataFrame, sources: DataFrame, cap: float, block: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The rows of pieces(), with doc_at to tell equal documents apart, written."""
+    n_slots, n_sources = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    slots = schedule(docs.sparkSession, sources.select("source_no", "target", "quota"), int(n_slots), int(n_sources))
     rounds = placed.where("size > 0").withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(max(0, -int(-cap // 1) - 1)))))
     rounds = rounds.withColumn("_from", F.col("_start") - F.col("_base") + F.col("_round") * F.col("source_size"))
     rounds = rounds.withColumn("_to", F.least(F.col("_from") + F.col("size"), F.floor("target"))).where("_from < _to")
     per = lambda x: F.floor(x / block)
-    pieces = rounds.select("_start", "source_no", "_from", "_to", F.explode(F.sequence(per(F.col("_from")), per(F.col("_to") - 1))).alias("rank"))
-    words = F.least(F.col("_to"), (F.col("rank") + 1) * block) - F.greatest(F.col("_from"), F.col("rank") * block)
-    taken = pieces.join(slots, ["source_no", "rank"]).groupBy(F.col("_start").alias("_at")).agg(F.sum(words).alias("_taken"), F.min("slot").alias("first_slot"))
+    parts = rounds.select("_start", "source_no", "_from", "_to", F.explode(F.sequence(per(F.col("_from")), per(F.col("_to") - 1))).alias("rank"))
+    start = F.greatest(F.col("_from"), F.col("rank") * block)
+    parts = parts.withColumn("at", start).withColumn("_n", F.least(F.col("_to"), (F.col("rank") + 1) * block) - start)
+    piece = F.struct("slot", "rank", "at", (F.col("at") - F.col("_from")).cast("int").alias("first_word"), F.col("_n").cast("int").alias("n_words"))
+    spans = parts.join(slots, ["source_no", "rank"]).groupBy("_start").agg(F.collect_list(piece).alias("_spans"))
+    spans = written(placed.where("size > 0").select("_start", "doc_id", "source", "size", "_h").join(spans, "_start"))
+    # Rows with equal keys have equal texts, so one text serves them all.
+    texts = _keyed(docs, seed, id_col, text_col, source_col).where("size > 0").groupBy("_h", "doc_id", "source", "size").agg(F.any_value("text").alias("text"))
+    same = texts["_h"] == spans["_h"]
+    for c in ("doc_id", "source", "size"):
+        same &= texts[c].eqNullSafe(spans[c])
+    both = texts.select("*").join(spans, same).select(spans["_start"], spans["doc_id"], spans["source"], "_spans", "text")
+    # The text is cut before each word, so a word keeps the white space that follows it; that of the last word goes.
+    cut = F.split(F.regexp_replace("text", f"^{_BLANK}+", ""), f"(?<={_BLANK})(?={WORD[:-1]})")
+    whole = lambda w, x: F.regexp_replace(F.array_join(F.slice(w, x["first_word"] + 1, x["n_words"]), ""), rf"{_BLANK}+\z", "")
+    texted = let(cut, lambda w: F.transform(F.col("_spans"), lambda x: F.struct(x.alias("p"), whole(w, x).alias("text"))))
+    rows = both.select("_start", "doc_id", "source", F.explode(texted).alias("_x"))
+    rows = rows.select(
+        "_x.p.slot", "source", "_x.p.rank", "_x.p.at", "doc_id", "_x.p.first_word",
+        (F.col("_x.p.first_word") + F.col("_x.p.n_words") - 1).alias("last_word"), "_x.text", F.col("_start").alias("doc_at"),
+    )
+    out = written(rows.repartitionByRange("slot", "at").sortWithinPartitions("slot", "at"))
+    drop(spans)
+    return out
+
+
+def pieces(
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
+    block: int = 1024, seed: int = 20240607, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mix itself, as files in the order of slot and at: slot, source, rank, at, doc_id, first_word, last_word, text.
+
+    Each source's documents are laid end to end in the order of a seeded hash and cut into equal blocks of words; going
+    round again, a block may run over the end into the start. Slot by slot the schedule names a source, whose next block
+    (rank) is taken; its last block is cut at the whole words of the target. A block is one row for each document it
+    reaches into: at is the row's first word in the source's sequence, rounds included, first_word and last_word (from 0)
+    are its words in the document, text is the document from the one to the other, white space between them unchanged.
+
+    Null and blank texts give no rows, as does an empty table. Null is a source of its own, the last. Repeated rows and
+    ids are separate documents. The files last until the scratch tables are cleared.
+    """
+    placed, sources = _laid(docs, weights, share, cap, seed, block, id_col, text_col, source_col)
+    return _pieces(docs, placed, sources, cap, block, seed, id_col, text_col, source_col).drop("doc_at")
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
+    block: int = 1024, seed: int = 20240607, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, weight, target, taken, first_slot.
+
+    size is the number of words. taken adds up the document's words in the written rows of pieces(), repeats counted, and
+    so never exceeds cap times its size; first_slot is the first slot that takes any of them, null if none does.
+
+    Null and blank texts have size 0 and take nothing. Null is a source of its own, the last. Repeated rows and ids
+    are separate documents. An empty table gives no rows. Other columns of docs are not returned.
+    """
+    placed, sources = _laid(docs, weights, share, cap, seed, block, id_col, text_col, source_col)
+    mixed = _pieces(docs, placed, sources, cap, block, seed, id_col, text_col, source_col)
+    taken = mixed.groupBy(F.col("doc_at").alias("_at")).agg(F.sum(F.col("last_word") - F.col("first_word") + 1).alias("_taken"), F.min("slot").alias("first_slot"))
     out = placed.join(taken, (F.col("_start") == F.col("_at")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "source", "size", "source_size", "weight", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
