@@ -229,6 +229,29 @@ def test_lines(docs, none):
     assert lines.without_repeats(none).count() == 0
 
 
+def test_line_originals(spark):
+    """The longest copy counts, whichever earlier place has it, not that of the earliest place which shares its beginning."""
+    menu, rng = "Home\nAbout\nContact\nBlog\n", np.random.default_rng(11)
+    frame = spark.createDataFrame([(1, menu + "Jobs"), (2, menu + "News"), (3, menu + "News")], "doc_id long, text string")
+    assert {r.doc_id: (r.text, [tuple(x) for x in r.removed_runs]) for r in lines.without_repeats(frame, 5).collect()} == {1: (menu + "Jobs", []), 2: (menu + "News", []), 3: ("", [(0, 5)])}
+    texts = [list(rng.choice(["a b", "c", "d e f"], rng.integers(1, 14), p=[0.5, 0.3, 0.2])) for _ in range(60)]
+    texts += [texts[i][:j] + ["x"] + texts[i + 1][j:] for i in range(30) for j in (2, 5)]
+    got = {r.doc_id: r.removed_lines for r in lines.without_repeats(spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string"), 9).collect()}
+    starts = [(i, j) for i, x in enumerate(texts) for j in range(len(x))]
+    for i, x in enumerate(texts):
+        dead = set()
+        for j in range(len(x)):
+            best = 0
+            for a, b in starts[: starts.index((i, j))]:
+                k = 0
+                while j + k < len(x) and b + k < len(texts[a]) and texts[a][b + k] == x[j + k]:
+                    k += 1
+                best = max(best, k)
+            if sum(len(y.split()) for y in x[j : j + best]) >= 9:
+                dead.update(range(j, j + best))
+        assert got[i] == len(dead)
+
+
 def test_benchmark(docs, none):
     items = docs.sparkSession.createDataFrame([(1, PASSAGE), (2, " ".join(PASSAGE.split()[:20]) + " q r"), (3, "one two"), (4, None), (5, " "), (6, "long5999"), (None, "w1 w2 w3 w4 w5")], "item_id long, text string")
     got = sorted((str(r.doc_id), str(r.item_id), r.found) for r in benchmark.contained(docs, items).collect())

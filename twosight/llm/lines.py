@@ -51,10 +51,12 @@ def doubled(level: DataFrame, length: int) -> DataFrame:
 def repeated_runs(named: DataFrame, min_words: int) -> DataFrame:
     """The maximal runs of lines that are later copies: (pos, end, length, original), with at least min_words words.
 
-    Prefix doubling ranks the suffixes of the line sequence by their first 1, 2, 4, ... lines until no run repeats; the
-    rank of an interval is its first place. The longest interval in which a place is not the first gives its original.
-    Where neighbouring places point to neighbouring originals they belong to one run, so only the first of them is kept;
-    its full common prefix with the original is found by halving steps through the stored ranks.
+    Prefix doubling names the runs of 1, 2, 4, ... lines by their first places until no run repeats. A place that is not
+    the first of its run goes on to the longest of these, the first also stays behind for the others. Then, by halving
+    steps, the places that share a run are grouped by the lines that follow: where several agree they go on with the
+    longer run, named by its first place, and that first place again stays behind for those that don't, so each place
+    meets every earlier one that shares more lines with it. What is left where a place is not the first is its longest
+    copy of any earlier place. Of neighbouring places only those whose run reaches beyond the one before are kept.
     """
     levels, k = [named.select("pos", "end", "name")], 0
     while True:
@@ -64,33 +66,35 @@ def repeated_runs(named: DataFrame, min_words: int) -> DataFrame:
             break
         levels.append(level)
         k += 1
-    later = None
+    places = None
     for k, level in enumerate(levels):
-        own = level.where("name < pos").select("pos", "end", F.lit(k).alias("k"), "name")
-        later = own if later is None else later.unionByName(own)
-    best = later.groupBy("pos", "end").agg(F.max(F.struct("k", "name")).alias("_best"))
-    best = written(best.select("pos", "end", "_best.k", F.col("_best.name").alias("original")))
-    before = best.select((F.col("pos") + 1).alias("pos"), "end", (F.col("original") + 1).alias("original"))
-    starts = best.join(before, ["pos", "end", "original"], "left_anti")
-    ends = named.select(F.col("pos").alias("original"), F.col("end").alias("_oend"))
-    runs = written(starts.join(ends, "original").withColumn("length", F.expr("shiftleft(1L, k)")))
+        here = level.select("pos", "end", "name", F.lit(1 << k).cast("long").alias("length"), F.lit(k).alias("k"))
+        if k + 1 < len(levels):
+            here = here.join(levels[k + 1].where("name < pos").select("pos"), "pos", "left_anti")
+        places = here if places is None else places.unionByName(here)
+    places = written(places)
     for k in range(len(levels) - 2, -1, -1):
-        here = levels[k].select(F.col("pos").alias("_p"), F.col("end").alias("end"), F.col("name").alias("_pn"))
-        there = levels[k].select(F.col("pos").alias("_q"), F.col("end").alias("_oend"), F.col("name").alias("_qn"))
-        step = runs.withColumn("_p", F.when(F.col("k") > k, F.col("pos") + F.col("length"))).withColumn("_q", F.col("original") + F.col("length"))
-        todo = step.where("_p is not null and _p < end and _q < _oend")
-        longer = todo.join(here, ["_p", "end"]).join(there, ["_q", "_oend"]).where("_pn = _qn").select("pos", F.lit(1 << k).cast("long").alias("_more"))
-        new = written(runs.join(longer, "pos", "left").withColumn("length", F.col("length") + F.coalesce("_more", F.lit(0))).drop("_more"))
-        drop(runs)
-        runs = new
+        names = levels[k].select(F.col("pos").alias("_p"), "end", F.col("name").alias("_next"))
+        tried = places.where(F.col("k") > k).withColumn("_p", F.col("pos") + F.col("length")).where("_p < end")
+        tried = written(tried.join(names, ["_p", "end"]).drop("_p"))
+        first = tried.groupBy("name", "length", "_next").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        longer = written(tried.join(first, ["name", "length", "_next"]).select("pos", "end", "length", "k", "_first"))
+        gone = longer.where("_first < pos").select("pos", "length")
+        up = longer.select("pos", "end", F.col("_first").alias("name"), (F.col("length") + (1 << k)).alias("length"), "k")
+        new = written(places.join(gone, ["pos", "length"], "left_anti").unionByName(up))
+        for old in (places, tried, longer):
+            drop(old)
+        places = new
+    best = places.where("name < pos").select("pos", "end", "length", F.col("name").alias("original"))
+    before = best.select((F.col("pos") + 1).alias("pos"), "end", (F.col("length") - 1).alias("_rest"))
+    runs = best.join(before, ["pos", "end"], "left").where("_rest is null or _rest < length").drop("_rest")
     total = F.sum("words").over(Window.partitionBy("end").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sums = named.select("pos", "words", total.alias("_sum"))
     last = sums.select((F.col("pos") + 1).alias("_stop"), F.col("_sum").alias("_to"))
     runs = runs.withColumn("_stop", F.col("pos") + F.col("length")).join(sums, "pos").join(last, "_stop")
     out = written(runs.where(F.col("_to") - F.col("_sum") + F.col("words") >= min_words).select("pos", "end", "length", "original"))
-    for level in levels[1:]:
+    for level in [*levels[1:], places]:
         drop(level)
-    drop(best)
     return out
 
 
