@@ -318,3 +318,15 @@ def test_language(docs, none):
     assert set(out[2].languages) == {"en", "de"} and 0.55 < out[2].score < 0.8 and out[1].score > 0.99 and out[3].score == 0
     assert language.identify(none, learned).count() == 0
     assert {r.lang_pred for r in language.identify(frame, learned.where("false")).collect()} == {"und"}
+
+
+def test_language_sets(spark):
+    """A set may hold as many languages as the likelihood asks for."""
+    rng = np.random.default_rng(9)
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "zäöüß"]
+    text = lambda k, n: " ".join("".join(rng.choice(list(letters[k]), rng.integers(3, 8))) for _ in range(n))
+    names = [f"l{k}" for k in range(6)]
+    learned = language.train(spark.createDataFrame([(i, text(i % 6, 200), names[i % 6]) for i in range(60)], "doc_id long, text string, lang string"), F.lit(True))
+    frame = spark.createDataFrame([(n, " ".join(text(k, 400) for k in range(n))) for n in range(1, 7)], "doc_id long, text string")
+    for r in language.identify(frame, learned).collect():
+        assert set(r.languages) == set(names[: r.doc_id]) and abs(r.score - 1 / r.doc_id) < 0.05

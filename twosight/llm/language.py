@@ -106,12 +106,13 @@ def _fit(p: np.ndarray, n: np.ndarray, owner: np.ndarray, starts: np.ndarray, us
     return weight.T.copy(), np.add.reduceat(n * np.log(mixed), starts)
 
 
-def infer(counts: list[tuple[np.ndarray, np.ndarray]], shares: np.ndarray, penalty: float, most: int, rounds: int) -> np.ndarray:
+def infer(counts: list[tuple[np.ndarray, np.ndarray]], shares: np.ndarray, penalty: float, rounds: int) -> np.ndarray:
     """Proportions of the languages of each text, over the set of languages that wins.
 
     EM over all languages orders them for each text; the sets of its 1, 2, ... most likely ones are fitted anew, and
     the one with the best log-likelihood less penalty * (languages - 1) * log(n-grams) is kept; of equals the smaller.
-    Larger sets are fitted only for texts in which a bound on every mixture's likelihood lets one of them win.
+    Larger sets are fitted only for texts in which a bound on every mixture's likelihood lets one of them win; the number
+    of languages in a set has no other limit.
     """
     at = [buckets for buckets, _ in counts]
     starts = np.cumsum([0, *map(len, at)])[:-1]
@@ -127,8 +128,9 @@ def infer(counts: list[tuple[np.ndarray, np.ndarray]], shares: np.ndarray, penal
     # By Jensen's inequality no mixture exceeds the one reached by more than total * log(largest mean of p over it).
     over = p * (n / np.einsum("ij,ij->i", p, first[owner]))[:, None]
     gap = total * np.log(np.add.reduceat(over, starts, axis=0).max(axis=1) / total)
-    open_ = reached + np.maximum(gap, 0) + 1e-5 * np.abs(reached) - penalty * size > best_value
-    for k in range(2, min(most, shares.shape[1]) + 1):
+    bound = reached + np.maximum(gap, 0) + 1e-5 * np.abs(reached)
+    for k in range(2, shares.shape[1] + 1):
+        open_ = bound - penalty * (k - 1) * size > best_value
         some = np.flatnonzero(open_)
         if not len(some):
             break
@@ -143,7 +145,7 @@ def infer(counts: list[tuple[np.ndarray, np.ndarray]], shares: np.ndarray, penal
 
 
 def identify(
-    docs: DataFrame, counts: DataFrame, penalty: float = 4.0, most: int = 3, rounds: int = 8, text_col: str = "text",
+    docs: DataFrame, counts: DataFrame, penalty: float = 4.0, rounds: int = 8, text_col: str = "text",
 ) -> DataFrame:
     """Adds lang_pred, score and languages (map of language to proportion) to the documents.
 
@@ -167,7 +169,7 @@ def identify(
                 known = [i for i, c in enumerate(found) if c is not None and names]
                 lang, score, mixed = [UNDETERMINED] * len(found), [0.0] * len(found), [[] for _ in found]
                 if known:
-                    part = infer([found[i] for i in known], shares, penalty, most, rounds)
+                    part = infer([found[i] for i in known], shares, penalty, rounds)
                     for i, row in zip(known, part, strict=True):
                         top = int(row.argmax())
                         lang[i], score[i] = names[top], min(1.0, float(row[top]))
