@@ -15,8 +15,12 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents without a language: null texts and texts without letters. The rest stay as they are.
 
-    The model is learned from the texts and languages of the documents it judges."""
-    found = language.identify(docs.select("*"), language.train(docs, F.lit(True)))
+    The model is learned from the texts and languages of the documents it judges; where no language is given, all texts
+    with letters stay."""
+    learned = common.written(language.train(docs, F.lit(True)))
+    if learned.isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs.select("*"), learned)
     return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
 
 

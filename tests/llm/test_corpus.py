@@ -330,3 +330,13 @@ def test_language_sets(spark):
     frame = spark.createDataFrame([(n, " ".join(text(k, 400) for k in range(n))) for n in range(1, 7)], "doc_id long, text string")
     for r in language.identify(frame, learned).collect():
         assert set(r.languages) == set(names[: r.doc_id]) and abs(r.score - 1 / r.doc_id) < 0.05
+
+
+def test_language_stage_without_languages(docs):
+    """Where no document has a language, the stage drops only null texts and those without letters."""
+    import corpus_pipeline
+
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    want = sorted(r.text for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+    assert sorted(r.text for r in corpus_pipeline.language_id(docs.sparkSession, unknown, "").collect()) == want
+    assert sorted(r.text for r in corpus_pipeline.language_id(docs.sparkSession, docs, "").collect()) == want
