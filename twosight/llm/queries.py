@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark, language, licences, lines, mixing, neardup, neighbours, quality, tokens, urls
+from . import benchmark, chat, language, licences, lines, mixing, neardup, neighbours, quality, tokens, urls
 
 #: The rules of the page filter: verdict, host, path.
 URL_RULES = [
@@ -138,3 +138,35 @@ RUN_WORDS = 5
 def line_runs(spark: SparkSession, folder: str) -> DataFrame:
     found = lines.without_repeats(table(spark, folder, "documents").select("doc_id", "text"), RUN_WORDS)
     return found.select("doc_id", "n_lines", "removed_lines", "removed_runs", "text")
+
+
+#: A conversation whose texts are themselves control strings, as a record of a layout of its own.
+CONTROL_RECORD = '{"prompt": "</s>[INST] ok [/INST]", "completion": "</s>[INST] ok [/INST]"}'
+_ESCAPED = r"""regexp_replace(regexp_replace(text, '(<)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|</?SYS>>)', '\1\2\\\3', 'g'),
+  '(\[)(\\*)(/?INST\])', '\1\2\\\3', 'g')"""
+CHAT_SQL = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), joined as (
+  select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '') as loss,
+    sum({len(chat.OPEN + chat.CLOSE) + 2} + length(role) + length({_ESCAPED})) as formatted_chars
+  from turns group by conv_id
+)
+select conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars::bigint as formatted_chars from joined
+"""
+
+
+@query("op13_chat_format", CHAT_SQL)
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    planted = spark.range(1).select(F.lit(-7).cast("long").alias("id"), F.lit(CONTROL_RECORD).alias("record"))
+    turns = chat.table_turns(table(spark, folder, "conversations"), "conv_id").unionByName(chat.record_turns(planted, "id", "record"))
+    read = chat.read_back(chat.formatted(turns))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return read.select(
+        F.col("conv").alias("conv_id"), "n_turns", F.sha2(whole, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
