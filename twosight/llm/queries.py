@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark, chat, language, licences, lines, mixing, neardup, neighbours, quality, tokens, urls
+from . import audit, benchmark, chat, language, licences, lines, mixing, neardup, neighbours, quality, tokens, urls
 
 #: The rules of the page filter: verdict, host, path.
 URL_RULES = [
@@ -170,3 +170,45 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.col("conv").alias("conv_id"), "n_turns", F.sha2(whole, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+#: The audited filters; E, identical to the text of a smaller id, is the fifth.
+AUDIT_FILTERS = {"A": audit.few_words(100), "B": audit.repeated_words(80), "C": audit.capitals(10), "D": audit.holds(r"[#$%&*|]")}
+AUDIT_SQL = r"""
+with docs as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), told as (
+  select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id
+), judged as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(w) < 100 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end
+    + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 4 else 0 end
+    + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end + case when min(doc_id) over (partition by t) < doc_id then 16 else 0 end as mask
+  from docs left join told using (doc_id)
+), cells as (
+  select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from judged group by all
+), letters(l, b) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders as (
+  select [a.b, b.b, c.b, d.b, e.b] as bits, a.l || b.l || c.l || d.l || e.l as filter_order
+  from letters a, letters b, letters c, letters d, letters e where a.b | b.b | c.b | d.b | e.b = 31
+), steps as (
+  select filter_order, i as step, bits[i] as own, coalesce(list_sum(bits[1:i - 1]), 0)::int as before from orders, range(1, 6) r(i)
+), found as (
+  select part, filter_order, step, own, sum(case when mask & (own | before) = 0 then n else 0 end) as kept,
+    sum(case when mask & own <> 0 and mask & before = 0 then n else 0 end) as removed,
+    sum(case when mask & own <> 0 and mask & before <> 0 then n else 0 end) as redundant,
+    sum(case when mask = own then n else 0 end) as unique_fails,
+    sum(case when mask & own <> 0 and mask & before = 0 then good else 0 end) as good_lost,
+    sum(case when mask & own <> 0 and mask & before = 0 then toxic else 0 end) as toxic_lost
+  from cells, steps group by all
+)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, own))::bigint as shapley from found
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"), AUDIT_FILTERS, copies="E")
