@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, benchmark, chat, language, licences, lines, mixing, neardup, neighbours, quality, tokens, urls
+from . import audit, benchmark, chat, language, licences, lines, mixing, neardup, neighbours, quality, tokens, urls, whitening
 
 #: The rules of the page filter: verdict, host, path.
 URL_RULES = [
@@ -212,3 +212,8 @@ select part, filter_order, step::int as step, kept::bigint as kept, removed::big
 @query("op11_filter_audit", AUDIT_SQL)
 def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"), AUDIT_FILTERS, copies="E")
+
+
+@query("op12_whitening")
+def whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), components=8)
