@@ -288,6 +288,21 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.where("false"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_with_lists_that_no_query_reads(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 6)) + 8 * rng.normal(size=(60, 6))[np.arange(6000) % 60]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(6000)] + [(20, [-float(v) for v in x[20]])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame, F.col("id").isin(7), width=4).toPandas()
+    best = [i for i in np.argsort(-(x @ x[7]), kind="stable") if i != 7][:20]
+    assert got["rank"].tolist() == list(range(1, 21)) and len(set(got.vec_id) & set(best)) >= 18
+    # Two vectors of one id: one ranking, no candidate twice. A narrow first search finds what a wide one does.
+    both = neighbours.nearest(frame, F.col("id").isin(20), width=4, ratio=50.0).toPandas().sort_values("rank")
+    score = np.maximum(x @ x[20], -(x @ x[20]))
+    best = [i for i in np.argsort(-score, kind="stable") if i != 20][:20]
+    assert both["rank"].tolist() == list(range(1, 21)) and both.vec_id.tolist() == best
+
+
 def test_quality(spark, none):
     rng = np.random.default_rng(3)
     good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(80)).capitalize() + "."

@@ -101,11 +101,13 @@ def nearest(
     among the k nearest. One more component, which makes all entries equally long, turns the largest inner product into
     the least distance. Centroids are fitted on at most fit_rows entries (those with the smallest hash); every entry is
     put into the list of its nearest centroid, and into those of up to `replicas` centroids at most `boundary` times as
-    far. A query reads the lists whose centroids are at most `ratio` times as far as the nearest, and more until these
-    hold 8 * (k + 1) entries or all of `width` centroids are used. Long lists are scored in blocks.
+    far. A query reads all lists whose centroids are at most `ratio` times as far as the nearest, and more until these
+    hold 8 * (k + 1) entries. The graph is searched for `width` centroids at first, and where these don't suffice for
+    four times as many, and so on up to all. Long lists are scored in blocks.
 
     Null ids, and vectors that are null, zero, of another length, or hold null or non-finite components take no part.
-    Repeated rows (same id and vector) are one. With fewer candidates than k, all that were found are returned; an
+    Repeated rows (same id and vector) are one. An id with several vectors has one ranking, the best of theirs, and stands
+    in others once, with its best score. With fewer candidates than k, all that were found are returned; an
     empty table gives no rows. Other columns are not returned.
     """
     spark = vectors.sparkSession
@@ -151,12 +153,19 @@ def nearest(
         for frame in frames:
             for at in range(0, len(frame), 1024):
                 part = frame.iloc[at : at + 1024]
-                found, far = graph.value.search(longer(np.stack(part["vec"].to_list()).astype(float), True), width)
-                far = np.sqrt(far)
-                before = np.cumsum(np.where(found >= 0, held.value[found], 0), axis=1)
-                before = np.c_[np.zeros(len(found)), before[:, :-1]]
-                r, c = np.nonzero((found >= 0) & ((far <= ratio * far[:, :1] + 1e-6) | (before < 8 * (k + 1))))
-                lists_, blocks = found[r, c], -(-held.value[found[r, c]] // BLOCK)
+                x, rows_, todo, wide = longer(np.stack(part["vec"].to_list()).astype(float), True), [], np.arange(len(part)), width
+                # Where all centroids found are within reach, or hold too few entries, more are looked for, in the end all of them.
+                while len(todo):
+                    found, far = graph.value.search(x[todo], wide)
+                    far = np.sqrt(far)
+                    before = np.cumsum(np.where(found >= 0, held.value[found], 0), axis=1)
+                    whole = (found.shape[1] >= len(held.value)) | ((far[:, -1] > ratio * far[:, 0] + 1e-6) & (before[:, -1] >= 8 * (k + 1)))
+                    before = np.c_[np.zeros(len(found)), before[:, :-1]]
+                    r, c = np.nonzero(((found >= 0) & ((far <= ratio * far[:, :1] + 1e-6) | (before < 8 * (k + 1)))) & whole[:, None])
+                    rows_.append((todo[r], found[r, c]))
+                    todo, wide = todo[~whole], 4 * wide
+                r, lists_ = (np.concatenate(v) for v in zip(*rows_, strict=True))
+                blocks = -(-held.value[lists_] // BLOCK)
                 again = np.repeat(np.arange(len(r)), blocks)
                 block = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 yield pd.DataFrame({"query": part["entry"].to_numpy()[r[again]], "list": lists_[again], "block": block, "qvec": part["vec"].to_numpy()[r[again]]})
@@ -180,7 +189,9 @@ def nearest(
                 top = np.lexsort((np.broadcast_to(least, rough.shape), -np.round(rough, 12)), axis=1)[:, : k + 1]
                 score = (q[:, None] * p[top]).sum(axis=2)
                 out.append(pd.DataFrame({"query": np.repeat(some["query"].to_numpy(), top.shape[1]), "entry": entry[top].ravel(), "score": score.ravel(), "ids": part["ids"].to_numpy()[top.ravel()]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "entry": [], "score": [], "ids": []})
+        # The empty frame has the types of a full one: a list that no query reads, or that holds nothing, gives it.
+        none = {"query": np.zeros(0, np.int64), "entry": np.zeros(0, np.int64), "score": np.zeros(0), "ids": np.zeros(0, object)}
+        return pd.concat(out) if out else pd.DataFrame(none)
 
     hits = wanted.groupBy("list", "block").cogroup(posted.groupBy("list", "block")).applyInPandas(scored, f"query long, entry long, score double, ids array<{id_kind}>")
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
@@ -189,5 +200,7 @@ def nearest(
     hits = hits.select("query", "score", F.explode("ids").alias("id")).groupBy("query").agg(F.slice(F.array_sort(F.collect_list(pair)), 1, k + 1).alias("near"))
     out = asked.join(hits, asked["entry"] == hits["query"])
     near = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
-    out = out.select(F.col("id").alias("query_id"), F.posexplode(near).alias("_at", "_near"))
-    return out.select("query_id", (F.col("_at") + 1).alias("rank"), F.col("_near.id").alias("vec_id"), F.col("_near.score").alias("score"))
+    pairs = out.select(F.col("id").alias("query_id"), F.explode(near).alias("_near")).groupBy("query_id", F.col("_near.id").alias("id")).agg(F.max("_near.score").alias("score"))
+    ranked = pairs.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(pair)), 1, k).alias("near"))
+    ranked = ranked.select("query_id", F.posexplode("near").alias("_at", "_near"))
+    return ranked.select("query_id", (F.col("_at") + 1).alias("rank"), F.col("_near.id").alias("vec_id"), F.col("_near.score").alias("score"))
