@@ -58,7 +58,7 @@ def _(spark, d):
     return decisions.charge_table(decisions.regression_rows(_rows(spark, d)))
 
 
-_TERM = "CASE i WHEN 0 THEN '(Intercept)' WHEN 1 THEN 'prs' ELSE 'ogs' END AS term, round(estimate, 6) AS estimate, round(hc0, 6) AS std_error, round(estimate / hc0, 6) AS statistic"
+_TERM = "CASE i WHEN 0 THEN '(Intercept)' WHEN 1 THEN 'prs' ELSE 'ogs' END AS term, round(estimate, 6) AS estimate, round(hc0, 6) AS std_error, round(estimate / hc0, 6) AS statistic, " + q.p_normal("estimate / hc0") + " AS p"
 
 
 def _actor(kind: str) -> str:
@@ -75,7 +75,7 @@ _JUDGE = "SELECT prs AS x1, ogs AS x2, sum(incar) AS n1, count(*) AS n FROM (SEL
 )
 def _(spark, d):
     reg = decisions.regression_rows(_rows(spark, d))
-    return robust_logit(reg.where("type = 'h'"), "qb", ["prs", "ogs"]).drop("p")
+    return robust_logit(reg.where("type = 'h'"), "qb", ["prs", "ogs"])
 
 
 @query(
@@ -85,4 +85,4 @@ def _(spark, d):
     ["everyone", "items"],
 )
 def _(spark, d):
-    return decisions.three_actor_coefficients(_rows(spark, d)).drop("p")
+    return decisions.three_actor_coefficients(_rows(spark, d))

@@ -31,7 +31,7 @@ def _(spark, d):
 
 @query("metric_pairs_by_group", q.metric_pairs_sql(_A, "grp", [("g0", "g1")]), ["long"])
 def _(spark, d):
-    return metrics.metric_pairs(_hr(spark, d), "grp", [("g0", "g1")]).drop("p")
+    return metrics.metric_pairs(_hr(spark, d), "grp", [("g0", "g1")])
 
 
 @query("auc_by_group", q.auc_sql(f"SELECT grp, outcome AS y, qp AS s FROM ({_A}) z", ["grp"]), ["long"])
@@ -42,15 +42,14 @@ def _(spark, d):
 _PATTERNS = f"SELECT grp AS g, qp AS x1, CASE WHEN grp = 'g1' THEN 1 ELSE 0 END AS x2, sum(outcome) AS n1, count(*) AS n FROM ({_A}) z GROUP BY grp, qp"
 
 
-@query(
-    "logit_main",
-    f"""WITH RECURSIVE {q.logit_ctes("lm", _PATTERNS)}
+_MAIN = f"""WITH RECURSIVE {q.logit_ctes("lm", _PATTERNS)}
         SELECT CASE i WHEN 0 THEN '(Intercept)' WHEN 1 THEN 'qp' ELSE 'grpg1' END AS term, round(estimate, 6) AS estimate, round(se, 6) AS std_error,
-        round(estimate / se, 6) AS statistic FROM lm_f""",
-    ["long"],
-)
+        round(estimate / se, 6) AS statistic, {q.p_normal("estimate / se")} AS p FROM lm_f"""
+
+
+@query("logit_main", _MAIN, ["long"])
 def _(spark, d):
-    return fairness.calibration_logit(_hr(spark, d), "grp").drop("p")
+    return fairness.calibration_logit(_hr(spark, d), "grp")
 
 
 @query(
@@ -59,41 +58,43 @@ def _(spark, d):
         t AS (SELECT '(Intercept)' AS term, b0 AS e, sqrt(v00) AS s FROM li_f WHERE g = 'g0' UNION ALL SELECT 'qp', b1, sqrt(v11) FROM li_f WHERE g = 'g0'
         UNION ALL SELECT 'grpg1', max(CASE WHEN g = 'g1' THEN b0 END) - max(CASE WHEN g = 'g0' THEN b0 END), sqrt(sum(v00)) FROM li_f
         UNION ALL SELECT 'qp:grpg1', max(CASE WHEN g = 'g1' THEN b1 END) - max(CASE WHEN g = 'g0' THEN b1 END), sqrt(sum(v11)) FROM li_f)
-        SELECT term, round(e, 6) AS estimate, round(s, 6) AS std_error, round(e / s, 6) AS statistic FROM t""",
+        SELECT term, round(e, 6) AS estimate, round(s, 6) AS std_error, round(e / s, 6) AS statistic, {q.p_normal("e / s")} AS p FROM t""",
     ["long"],
 )
 def _(spark, d):
-    return fairness.calibration_logit(_hr(spark, d), "grp", interact=True).drop("p")
+    return fairness.calibration_logit(_hr(spark, d), "grp", interact=True)
 
 
-@query("calibration_p_values")
+@query("calibration_p_values", f"SELECT term, p FROM ({_MAIN}) z", ["long"])
 def _(spark, d):
-    return fairness.calibration_logit(_hr(spark, d), "grp")
+    return fairness.calibration_logit(_hr(spark, d), "grp").select("term", "p")
 
 
 @query(
     "chisq_calibration_bins",
     f"""WITH g AS (SELECT floor(least(qp, 0.99::DOUBLE) * 10) / 10 AS qp_binned, count(*)::DOUBLE AS n,
         sum(CASE WHEN outcome = 1 AND grp = 'g0' THEN 1 ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN outcome = 1 AND grp = 'g1' THEN 1 ELSE 0 END)::DOUBLE AS b,
-        sum(CASE WHEN outcome = 0 AND grp = 'g0' THEN 1 ELSE 0 END)::DOUBLE AS c, sum(CASE WHEN outcome = 0 AND grp = 'g1' THEN 1 ELSE 0 END)::DOUBLE AS d FROM ({_A}) z GROUP BY 1)
-        SELECT qp_binned, n::BIGINT AS n, round(n * pow(greatest(abs(a * d - b * c) - n / 2, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 6) AS chi2, 1.0::DOUBLE AS dof FROM g""",
+        sum(CASE WHEN outcome = 0 AND grp = 'g0' THEN 1 ELSE 0 END)::DOUBLE AS c, sum(CASE WHEN outcome = 0 AND grp = 'g1' THEN 1 ELSE 0 END)::DOUBLE AS d FROM ({_A}) z GROUP BY 1),
+        x AS (SELECT *, n * pow(greatest(abs(a * d - b * c) - n / 2, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS x FROM g)
+        SELECT qp_binned, n::BIGINT AS n, round(x, 6) AS chi2, 1.0::DOUBLE AS dof, {q.p_chi2("x", "1.0::DOUBLE")} AS p FROM x""",
     ["long"],
 )
 def _(spark, d):
-    return fairness.calibration_test(_hr(spark, d), "grp").drop("p")
+    return fairness.calibration_test(_hr(spark, d), "grp")
 
 
 @query(
     "chisq_outcome_condition_by_part",
-    """WITH o AS (SELECT survey_part, outcome, condition, count(*)::DOUBLE AS o FROM long GROUP BY 1, 2, 3),
-       e AS (SELECT *, sum(o) OVER (PARTITION BY survey_part, outcome) * sum(o) OVER (PARTITION BY survey_part, condition) / sum(o) OVER (PARTITION BY survey_part) AS e FROM o)
-       SELECT survey_part, sum(o)::BIGINT AS n, round(sum((o - e) * (o - e) / e), 6) AS chi2, 2.0::DOUBLE AS dof FROM e GROUP BY survey_part""",
+    f"""WITH o AS (SELECT survey_part, outcome, condition, count(*)::DOUBLE AS o FROM long GROUP BY 1, 2, 3),
+       e AS (SELECT *, sum(o) OVER (PARTITION BY survey_part, outcome) * sum(o) OVER (PARTITION BY survey_part, condition) / sum(o) OVER (PARTITION BY survey_part) AS e FROM o),
+       x AS (SELECT survey_part, sum(o)::BIGINT AS n, sum((o - e) * (o - e) / e) AS x FROM e GROUP BY survey_part)
+       SELECT survey_part, n, round(x, 6) AS chi2, 2.0::DOUBLE AS dof, {q.p_chi2("x", "2.0::DOUBLE")} AS p FROM x""",
     ["long"],
 )
 def _(spark, d):
     from twosight.operators.inference import chi_square
 
-    return chi_square(preparation.assessments_long(assess(spark, d)), "outcome", "condition", ["survey_part"]).drop("p")
+    return chi_square(preparation.assessments_long(assess(spark, d)), "outcome", "condition", ["survey_part"])
 
 
 @query(
@@ -134,7 +135,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = _na(spark, d).withColumn("model_higher", F.col("qp_h") < F.col("qp_r"))
-    return ranks.rank_sum(rows, F.round("influence", 6), "grp", "g0", "g1", ["model_higher"]).drop("p")
+    return ranks.rank_sum(rows, F.round("influence", 6), "grp", "g0", "g1", ["model_higher"])
 
 
 _ITEM = (
@@ -181,7 +182,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return ranks.rank_sum(_items(spark, d), F.round(F.col("influence") + 1e-9, 7), "grp", "g0", "g1").drop("p")
+    return ranks.rank_sum(_items(spark, d), F.round(F.col("influence") + 1e-9, 7), "grp", "g0", "g1")
 
 
 @query(

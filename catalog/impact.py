@@ -50,7 +50,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return inference.welch_t(_a(spark, d), impact.distance("qp"), "setting", "Anchor", "No anchor").drop("p")
+    return inference.welch_t(_a(spark, d), impact.distance("qp"), "setting", "Anchor", "No anchor")
 
 
 @query(
@@ -59,7 +59,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return ranks.rank_sum(_a(spark, d), _gap(), "setting", "Anchor", "No anchor").drop("p")
+    return ranks.rank_sum(_a(spark, d), _gap(), "setting", "Anchor", "No anchor")
 
 
 @query(
@@ -72,7 +72,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = _a(spark, d).withColumn("qp_r_bin", bin_floor("qp_r", 5))
-    return ranks.rank_sum(rows, _gap(), "setting", "Anchor", "No anchor", ["qp_r_bin"]).drop("p")
+    return ranks.rank_sum(rows, _gap(), "setting", "Anchor", "No anchor", ["qp_r_bin"])
 
 
 @query(
@@ -83,7 +83,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return ranks.rank_sum(_a(spark, d), _gap(), "setting", "Anchor", "No anchor", ["condition"]).drop("p")
+    return ranks.rank_sum(_a(spark, d), _gap(), "setting", "Anchor", "No anchor", ["condition"])
 
 
 @query(
@@ -97,7 +97,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = _a(spark, d).withColumn("model_right", F.col("qb_r") == F.col("outcome"))
-    return ranks.rank_sum(rows, _gap(), "condition", "Controlled", "Decreasing", ["model_right"]).drop("p")
+    return ranks.rank_sum(rows, _gap(), "condition", "Controlled", "Decreasing", ["model_right"])
 
 
 @query(
@@ -193,7 +193,7 @@ def _(spark, d):
 
 @query("metric_pairs_by_condition", q.metric_pairs_sql(_C, "condition", [("Decreasing", "Controlled")]), ["long"])
 def _(spark, d):
-    return metrics.metric_pairs(_c(spark, d), "condition", [("Decreasing", "Controlled")]).drop("p")
+    return metrics.metric_pairs(_c(spark, d), "condition", [("Decreasing", "Controlled")])
 
 
 @query(
@@ -237,7 +237,7 @@ def _(spark, d):
 
 @query("metric_pairs_before_after", q.metric_pairs_sql(_NL, "type", [("h", "hr")]), ["long"])
 def _(spark, d):
-    return metrics.metric_pairs(_na_long(spark, d), "type", [("h", "hr")]).drop("p")
+    return metrics.metric_pairs(_na_long(spark, d), "type", [("h", "hr")])
 
 
 @query("auc_of_model", q.auc_sql("SELECT outcome AS y, qp_r AS s FROM na"), ["na"])
@@ -268,7 +268,7 @@ def _(spark, d):
 )
 def _(spark, d):
     higher = flag(F.col("qp_r") - F.col("qp_h") > 0)
-    return ranks.rank_sum(_na(spark, d), F.round("influence", 6), higher, 0, 1).drop("p")
+    return ranks.rank_sum(_na(spark, d), F.round("influence", 6), higher, 0, 1)
 
 
 @query(
@@ -280,12 +280,12 @@ def _(spark, d):
 )
 def _(spark, d):
     higher = flag(F.col("qp_r") - F.col("qp_h") > 0)
-    return inference.welch_t(_na(spark, d), impact.distance("qp_hr", "qp_h"), higher, 0, 1).drop("p")
+    return inference.welch_t(_na(spark, d), impact.distance("qp_hr", "qp_h"), higher, 0, 1)
 
 
 @query("pearson_influence_gap", f"WITH {_NAI}, " + q.pearson_sql("SELECT influence AS x, qp_r - qp_h AS y FROM nai")[5:], ["na"])
 def _(spark, d):
-    return inference.pearson_test(_na(spark, d), "influence", F.col("qp_r") - F.col("qp_h")).drop("p")
+    return inference.pearson_test(_na(spark, d), "influence", F.col("qp_r") - F.col("qp_h"))
 
 
 @query(
@@ -299,7 +299,7 @@ def _(spark, d):
 def _(spark, d):
     gap = F.col("qp_r") - F.col("qp_h")
     rows = _na(spark, d).where("qp_r <> qp_h").withColumn("side", F.signum(gap))
-    out = ranks.spearman(rows, F.round("influence", 6), F.round(gap, 6), ["side"]).drop("p")
+    out = ranks.spearman(rows, F.round("influence", 6), F.round(gap, 6), ["side"])
     return out.withColumn("side", F.col("side").cast("int"))
 
 
@@ -350,7 +350,7 @@ def _(spark, d):
     ["na"],
 )
 def _(spark, d):
-    return ranks.kruskal(_na(spark, d), F.round("influence", 6), "id").drop("p")
+    return ranks.kruskal(_na(spark, d), F.round("influence", 6), "id")
 
 
 @query(
@@ -359,7 +359,7 @@ def _(spark, d):
     ["na"],
 )
 def _(spark, d):
-    return ranks.kruskal(_na(spark, d), F.round("influence", 6), "order_question").drop("p")
+    return ranks.kruskal(_na(spark, d), F.round("influence", 6), "order_question")
 
 
 @query(
@@ -436,7 +436,7 @@ def _(spark, d):
     ["na"],
 )
 def _(spark, d):
-    return impact.agreement_test(_na(spark, d)).drop("p")
+    return impact.agreement_test(_na(spark, d))
 
 
 @query(
@@ -448,7 +448,7 @@ def _(spark, d):
     ["na"],
 )
 def _(spark, d):
-    return impact.adherence_test(_na(spark, d)).drop("p")
+    return impact.adherence_test(_na(spark, d))
 
 
 @query(
@@ -487,7 +487,7 @@ def _(spark, d):
     ["na"],
 )
 def _(spark, d):
-    return ranks.spearman(impact.low_score_switches(_na(spark, d)), "changed", "qp_r").drop("p")
+    return ranks.spearman(impact.low_score_switches(_na(spark, d)), "changed", "qp_r")
 
 
 # Stated use.
@@ -526,7 +526,7 @@ def _(spark, d):
     from twosight.operators.reshape import longer
 
     rows = longer(_dp(spark, d), ["setting"], ["use_binary", "use_likelihood"], "measure", "x")
-    return ranks.rank_sum(rows, "x", "setting", "Anchor", "No anchor", ["measure"]).drop("p")
+    return ranks.rank_sum(rows, "x", "setting", "Anchor", "No anchor", ["measure"])
 
 
 @query(
@@ -539,7 +539,7 @@ def _(spark, d):
     ["answers", "long"],
 )
 def _(spark, d):
-    return inference.welch_t(_dp(spark, d), flag(F.col("trust") == "Yes"), "setting", "Anchor", "No anchor").drop("p")
+    return inference.welch_t(_dp(spark, d), flag(F.col("trust") == "Yes"), "setting", "Anchor", "No anchor")
 
 
 @query(
@@ -580,7 +580,7 @@ def _(spark, d):
     ["answers", "na"],
 )
 def _(spark, d):
-    return ranks.spearman(_use(spark, d), "use_likelihood", F.round("mean_influence", 9)).drop("p")
+    return ranks.spearman(_use(spark, d), "use_likelihood", F.round("mean_influence", 9))
 
 
 @query(
@@ -610,7 +610,7 @@ def _(spark, d):
     ["answers", "na"],
 )
 def _(spark, d):
-    return ranks.rank_sum(_use(spark, d), F.round("mean_influence", 9), "trust", 0, 1).drop("p")
+    return ranks.rank_sum(_use(spark, d), F.round("mean_influence", 9), "trust", 0, 1)
 
 
 _CP = (

@@ -66,7 +66,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return mapping.band_tests(_hr2(spark, d)).drop("p")
+    return mapping.band_tests(_hr2(spark, d))
 
 
 @query(
@@ -120,18 +120,19 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return mapping.estimate_against_answer(_hr2(spark, d)).drop("p")
+    return mapping.estimate_against_answer(_hr2(spark, d))
 
 
 @query(
     "paired_estimate_against_answer",
     f"""WITH {_A}, g AS (SELECT 'open' AS rule, CASE WHEN qp > 0.5 THEN 1 ELSE 0 END - qb AS x FROM hr2
-        UNION ALL SELECT 'closed', CASE WHEN qp >= 0.5 THEN 1 ELSE 0 END - qb FROM hr2)
-        SELECT rule, count(*) AS n, round(avg(x), 6) AS mean_diff, round(avg(x) * sqrt(count(*)) / stddev_samp(x), 6) AS t, (count(*) - 1)::DOUBLE AS dof FROM g GROUP BY rule""",
+        UNION ALL SELECT 'closed', CASE WHEN qp >= 0.5 THEN 1 ELSE 0 END - qb FROM hr2),
+        t AS (SELECT rule, count(*) AS n, avg(x) AS m, avg(x) * sqrt(count(*)) / stddev_samp(x) AS t, (count(*) - 1)::DOUBLE AS dof FROM g GROUP BY rule)
+        SELECT rule, n, round(m, 6) AS mean_diff, round(t, 6) AS t, dof, {q.p_t("t", "dof")} AS p FROM t""",
     ["long"],
 )
 def _(spark, d):
-    return mapping.estimate_against_answer(_hr2(spark, d), paired=True).drop("p")
+    return mapping.estimate_against_answer(_hr2(spark, d), paired=True)
 
 
 @query(
@@ -162,7 +163,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return mapping.score_and_binary_tests(_hr2(spark, d)).drop("p")
+    return mapping.score_and_binary_tests(_hr2(spark, d))
 
 
 @query(

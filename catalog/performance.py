@@ -57,7 +57,7 @@ def _(spark, d):
 
 @query("metric_pairs_by_type", q.metric_pairs_sql("SELECT * FROM matched", "type", _PAIRS), ["matched"])
 def _(spark, d):
-    return metrics.metric_pairs(performance.with_matched_model(_everyone(spark, d)), "type", _PAIRS).drop("p")
+    return metrics.metric_pairs(performance.with_matched_model(_everyone(spark, d)), "type", _PAIRS)
 
 
 @query("auc_by_type", q.auc_sql("SELECT type, outcome AS y, qp AS s FROM matched", ["type"]), ["matched"])
@@ -135,7 +135,7 @@ def _(spark, d):
     ["everyone"],
 )
 def _(spark, d):
-    return performance.halves_tests(_everyone(spark, d), half=2, end=4).drop("p")
+    return performance.halves_tests(_everyone(spark, d), half=2, end=4)
 
 
 @query(
@@ -175,11 +175,11 @@ _AP = "ap AS (SELECT * FROM answers JOIN accset USING (id, set_q))"
     f"""WITH {_AP}, m AS (SELECT set_q, CASE WHEN count(acc) = count(*) THEN round(avg(acc), 6) END AS mean_acc,
         CASE WHEN count(humanaccuracy) = count(*) THEN round(avg(humanaccuracy), 6) END AS mean_humanacc FROM ap GROUP BY set_q),
         sp AS ({q.spearman_sql("SELECT set_q, humanaccuracy AS x, acc AS y FROM ap", ["set_q"])})
-        SELECT set_q, mean_acc, mean_humanacc, n, rho, t FROM m JOIN sp USING (set_q)""",
+        SELECT set_q, mean_acc, mean_humanacc, n, rho, t, p FROM m JOIN sp USING (set_q)""",
     ["answers", "accset"],
 )
 def _(spark, d):
-    return performance.perceived_correlation(_both(spark, d)).drop("p")
+    return performance.perceived_correlation(_both(spark, d))
 
 
 @query(
@@ -210,7 +210,7 @@ def _(spark, d):
     ["answers", "accset"],
 )
 def _(spark, d):
-    return ranks.kruskal(_both(spark, d), "humanaccuracy", "confidence", ["set_q"]).drop("p")
+    return ranks.kruskal(_both(spark, d), "humanaccuracy", "confidence", ["set_q"])
 
 
 for _a, _b in (("Confident", "Not confident"), ("Not confident", "Somewhat confident"), ("Confident", "Somewhat confident")):
@@ -226,7 +226,7 @@ for _a, _b in (("Confident", "Not confident"), ("Not confident", "Somewhat confi
     )
     def _(spark, d, a=_a, b=_b):
         rows = _both(spark, d).where("set_q <> 2")
-        return ranks.rank_sum(rows, "humanaccuracy", "confidence", a, b, ["set_q"]).drop("p")
+        return ranks.rank_sum(rows, "humanaccuracy", "confidence", a, b, ["set_q"])
 
 
 @query(
@@ -245,7 +245,7 @@ def _(spark, d):
     ["answers", "accset"],
 )
 def _(spark, d):
-    return ranks.kruskal(_both(spark, d), "rank", "humanaccuracy_comparison", ["set_q"]).drop("p")
+    return ranks.kruskal(_both(spark, d), "rank", "humanaccuracy_comparison", ["set_q"])
 
 
 @query(
@@ -258,7 +258,7 @@ def _(spark, d):
     ["answers", "accset"],
 )
 def _(spark, d):
-    return ranks.rank_sum(_both(spark, d), "rank", "humanaccuracy_comparison", "Lower", "Median", ["set_q"]).drop("p")
+    return ranks.rank_sum(_both(spark, d), "rank", "humanaccuracy_comparison", "Lower", "Median", ["set_q"])
 
 
 # Arms compared on the assisted answers.
@@ -272,7 +272,7 @@ def _(spark, d):
 
 @query("metric_pairs_welch", q.metric_pairs_sql(_A, "setting", [("Anchor", "No anchor")]), ["long"])
 def _(spark, d):
-    return metrics.metric_pairs(preparation.assisted(assess(spark, d)), "setting", [("Anchor", "No anchor")]).drop("p")
+    return metrics.metric_pairs(preparation.assisted(assess(spark, d)), "setting", [("Anchor", "No anchor")])
 
 
 @query("auc_by_setting", q.auc_sql(f"SELECT setting, outcome AS y, qp AS s FROM ({_A}) z", ["setting"]), ["long"])
@@ -308,7 +308,7 @@ def _(spark, d):
     ["answers", "accset"],
 )
 def _(spark, d):
-    return ranks.rank_sum(_both(spark, d), "rank", "humanaccuracy_comparison", "Lower", "Higher", ["set_q"]).drop("p")
+    return ranks.rank_sum(_both(spark, d), "rank", "humanaccuracy_comparison", "Lower", "Higher", ["set_q"])
 
 
 @query(
@@ -321,4 +321,4 @@ def _(spark, d):
     ["answers", "accset"],
 )
 def _(spark, d):
-    return ranks.rank_sum(_both(spark, d), "rank", "humanaccuracy_comparison", "Median", "Higher", ["set_q"]).drop("p")
+    return ranks.rank_sum(_both(spark, d), "rank", "humanaccuracy_comparison", "Median", "Higher", ["set_q"])

@@ -5,6 +5,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 
+def _simpson(n: int, f: str) -> str:
+    """Simpson's sum of f over i = 0..n, to be multiplied by the step and divided by 3."""
+    return f"list_sum(list_transform(range(0, {n + 1}), lambda i: CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({f})))"
+
+
+def p_normal(z: str, n: int = 2000) -> str:
+    """Two-sided normal tail: the density between 0 and z by Simpson's rule."""
+    z = f"least(abs({z}), 12::DOUBLE)"
+    return f"round(1 - 2 * {z} / {3 * n} * {_simpson(n, f'exp(-pow(i * {z} / {n}, 2) / 2) / sqrt(2 * pi())')}, 6)"
+
+
+def p_t(t: str, dof: str, n: int = 2000) -> str:
+    """Two-sided tail of Student's t: cos(x)^(dof - 1) between 0 and atan(t / sqrt(dof)), scaled by gamma functions."""
+    cut = f"atan(abs({t}) / sqrt({dof}))"
+    scale = f"exp(lgamma((({dof}) + 1) / 2) - lgamma(({dof}) / 2)) / sqrt(pi())"
+    return f"round(greatest(1 - 2 * {scale} * {cut} / {3 * n} * {_simpson(n, f'pow(cos(i * {cut} / {n}), ({dof}) - 1)')}, 0), 6)"
+
+
+def p_chi2(x: str, dof: str, n: int = 2000) -> str:
+    """Upper chi-square tail: the density of the root between 0 and sqrt(x), as far as it isn't negligible."""
+    low = f"greatest(sqrt({dof}) - 9, 0::DOUBLE)"
+    wide = f"(greatest(least(sqrt(greatest({x}, 0::DOUBLE)), sqrt({dof}) + 9), {low}) - {low})"
+    at = f"greatest({low} + i * {wide} / {n}, 1e-300)"
+    f = f"exp((({dof}) - 1) * ln({at}) - pow({at}, 2) / 2 - (({dof}) / 2 - 1) * ln(2::DOUBLE) - lgamma(({dof}) / 2))"
+    return f"round(greatest(1 - {wide} / {3 * n} * {_simpson(n, f)}, 0), 6)"
+
+
 def _keys(by: Sequence[str]) -> tuple[str, str, str]:
     lead = "".join(f"{b}, " for b in by)
     group = f"GROUP BY {', '.join(by)}" if by else ""
@@ -37,9 +64,9 @@ def rank_sum_sql(source: str, by: Sequence[str] = ()) -> str:
         "FROM src WHERE x IS NOT NULL AND a IS NOT NULL), "
         f"t AS (SELECT {lead}sum(a)::DOUBLE AS na, count(*)::DOUBLE AS n, sum(rk * a) AS ra, sum(ties * ties - 1)::DOUBLE AS tt FROM r {group}), "
         f"u AS (SELECT {lead}na, n - na AS nb, ra - na * (na + 1) / 2 AS w, "
-        "na * (n - na) / 12 * ((n + 1) - tt / (n * (n - 1))) AS v FROM t) "
-        f"SELECT {lead}na::BIGINT AS n_a, nb::BIGINT AS n_b, round(w, 6) AS w, "
-        "round((w - na * nb / 2 - 0.5::DOUBLE * sign(w - na * nb / 2)) / sqrt(v), 6) AS z FROM u"
+        "na * (n - na) / 12 * ((n + 1) - tt / (n * (n - 1))) AS v FROM t), "
+        "zs AS (SELECT *, (w - na * nb / 2 - 0.5::DOUBLE * sign(w - na * nb / 2)) / sqrt(v) AS z FROM u) "
+        f"SELECT {lead}na::BIGINT AS n_a, nb::BIGINT AS n_b, round(w, 6) AS w, round(z, 6) AS z, {p_normal('z')} AS p FROM zs"
     )
 
 
@@ -50,9 +77,9 @@ def kruskal_sql(source: str, by: Sequence[str] = ()) -> str:
         f"WITH src AS ({source}), r AS (SELECT *, {_ranked('src', by, 'x', 'rk')}, count(*) OVER (PARTITION BY {part}, x) AS ties, "
         f"count(*) OVER (PARTITION BY {part})::DOUBLE AS n FROM src WHERE x IS NOT NULL AND g IS NOT NULL), "
         f"c AS (SELECT {lead}g, sum(rk) AS rs, count(*)::DOUBLE AS m, max(n) AS n, sum(ties * ties - 1)::DOUBLE AS tt FROM r GROUP BY {lead}g), "
-        f"t AS (SELECT {lead}sum(rs * rs / m) AS q, max(n) AS n, sum(tt) AS tt, count(*) AS k FROM c {group}) "
-        f"SELECT {lead}n::BIGINT AS n, k AS groups, "
-        "round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - tt / (n * n * n - n)), 6) AS h, (k - 1)::DOUBLE AS dof FROM t"
+        f"t AS (SELECT {lead}sum(rs * rs / m) AS q, max(n) AS n, sum(tt) AS tt, count(*) AS k FROM c {group}), "
+        "hs AS (SELECT *, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - tt / (n * n * n - n)) AS h, (k - 1)::DOUBLE AS dof FROM t) "
+        f"SELECT {lead}n::BIGINT AS n, k AS groups, round(h, 6) AS h, dof, {p_chi2('h', 'dof')} AS p FROM hs"
     )
 
 
@@ -62,17 +89,19 @@ def spearman_sql(source: str, by: Sequence[str] = ()) -> str:
     return (
         f"WITH src AS ({source}), r AS (SELECT *, {_ranked('src', by, 'x', 'rx')}, {_ranked('src', by, 'y', 'ry')} "
         "FROM src WHERE x IS NOT NULL AND y IS NOT NULL), "
-        f"t AS (SELECT {lead}count(*) AS n, corr(rx, ry) AS rho FROM r {group}) "
-        f"SELECT {lead}n, round(rho, 6) AS rho, round(rho * sqrt((n - 2) / (1 - rho * rho)), 6) AS t FROM t"
+        f"c AS (SELECT {lead}count(*) AS n, corr(rx, ry) AS rho FROM r {group}), "
+        f"t AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t FROM c) "
+        f"SELECT {lead}n, round(rho, 6) AS rho, round(t, 6) AS t, {p_t('t', '(n - 2)::DOUBLE')} AS p FROM t"
     )
 
 
 def pearson_sql(source: str, by: Sequence[str] = ()) -> str:
     lead, group, _ = _keys(by)
     return (
-        f"WITH src AS ({source}), t AS (SELECT {lead}count(*) AS n, corr(x, y) AS r FROM src "
-        f"WHERE x IS NOT NULL AND y IS NOT NULL {group}) "
-        f"SELECT {lead}n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t, (n - 2)::DOUBLE AS dof FROM t"
+        f"WITH src AS ({source}), c AS (SELECT {lead}count(*) AS n, corr(x, y) AS r FROM src "
+        f"WHERE x IS NOT NULL AND y IS NOT NULL {group}), "
+        f"t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, (n - 2)::DOUBLE AS dof FROM c) "
+        f"SELECT {lead}n, round(r, 6) AS r, round(t, 6) AS t, dof, {p_t('t', 'dof')} AS p FROM t"
     )
 
 
@@ -81,9 +110,9 @@ def welch_sql(source: str, by: Sequence[str] = ()) -> str:
     lead, group, _ = _keys(by)
     return (
         f"WITH src AS ({source}), m AS (SELECT {lead}count(xa) AS n_a, count(xb) AS n_b, avg(xa) AS ma, avg(xb) AS mb, "
-        f"var_samp(xa) / count(xa) AS ea, var_samp(xb) / count(xb) AS eb FROM src {group}) "
-        f"SELECT {lead}n_a, n_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round((ma - mb) / sqrt(ea + eb), 6) AS t, "
-        "round((ea + eb) * (ea + eb) / (ea * ea / (n_a - 1) + eb * eb / (n_b - 1)), 6) AS dof FROM m"
+        f"var_samp(xa) / count(xa) AS ea, var_samp(xb) / count(xb) AS eb FROM src {group}), "
+        "ts AS (SELECT *, (ma - mb) / sqrt(ea + eb) AS t, (ea + eb) * (ea + eb) / (ea * ea / (n_a - 1) + eb * eb / (n_b - 1)) AS dof FROM m) "
+        f"SELECT {lead}n_a, n_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(t, 6) AS t, round(dof, 6) AS dof, {p_t('t', 'dof')} AS p FROM ts"
     )
 
 

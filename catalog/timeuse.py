@@ -125,7 +125,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return timeuse.first_item_test(_long(spark, d).where("survey_part = 1"), 2).drop("p")
+    return timeuse.first_item_test(_long(spark, d).where("survey_part = 1"), 2)
 
 
 @query(
@@ -157,7 +157,7 @@ def _(spark, d):
 )
 def _(spark, d):
     at = timeuse.accuracy_and_time(_tp(spark, d).where("setting = 'Anchor'"))
-    return ranks.spearman(at, "acc", F.round("total_time", 6)).drop("p")
+    return ranks.spearman(at, "acc", F.round("total_time", 6))
 
 
 @query(
@@ -175,7 +175,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return inference.welch_t(_tp(spark, d), "time", flag(F.col("qb") == F.col("outcome")), 1, 0).drop("p")
+    return inference.welch_t(_tp(spark, d), "time", flag(F.col("qb") == F.col("outcome")), 1, 0)
 
 
 @query(
@@ -184,7 +184,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return ranks.rank_sum(_tp(spark, d), "time", flag(F.col("qb") == F.col("outcome")), 1, 0).drop("p")
+    return ranks.rank_sum(_tp(spark, d), "time", flag(F.col("qb") == F.col("outcome")), 1, 0)
 
 
 @query(
@@ -206,7 +206,7 @@ def _desc(spark, d):
 
 @query("spearman_time_length", f"WITH {_DESC}, " + q.spearman_sql("SELECT time AS x, n_char AS y FROM dl")[5:], ["long", "descriptions"])
 def _(spark, d):
-    return ranks.spearman(_desc(spark, d), "time", "n_char").drop("p")
+    return ranks.spearman(_desc(spark, d), "time", "n_char")
 
 
 @query(
@@ -223,7 +223,7 @@ def _(spark, d):
         F.struct(F.lit("correct").alias("split"), flag(F.col("qb") == F.col("outcome")).alias("g")),
     )
     rows = _desc(spark, d).select("n_char", F.inline(both))
-    return ranks.rank_sum(rows, "n_char", "g", 0, 1, ["split"]).drop("p")
+    return ranks.rank_sum(rows, "n_char", "g", 0, 1, ["split"])
 
 
 @query(

@@ -42,6 +42,23 @@ def test_chi2_two_degrees_is_exponential():
         assert P.chi2_upper(x, 2) == pytest.approx(math.exp(-x / 2), rel=1e-12)
 
 
+def test_p_columns_agree_with_series_and_fractions(spark):
+    points = [(t, d) for t in (0.0, 0.3, -1.0, 2.0, 3.5, 7.0, 15.0, 40.0, float("inf")) for d in (0.7, 1.0, 2.0, 3.3, 10.0, 57.7, 500.0, 1e4)]
+    df = spark.createDataFrame(points, "t double, d double").withColumn("x", F.col("d") + F.col("t") * F.sqrt("d"))
+    df = df.select("t", "d", "x", P.p_student("t", "d").alias("pt"), P.p_normal("t").alias("pn"), P.p_chi2("x", "d").alias("pc"))
+    for r in df.collect():
+        assert r.pt == pytest.approx(P.t_two_sided(r.t, r.d), rel=1e-7, abs=1e-11)
+        assert r.pn == pytest.approx(P.normal_two_sided(r.t), rel=1e-9, abs=1e-290)
+        if math.isfinite(r.t):
+            assert r.pc == pytest.approx(P.chi2_upper(r.x, r.d), rel=1e-7, abs=1e-11)
+    assert P.t_two_sided(40.0, 50) == pytest.approx(one(spark, P.p_student(F.lit(40.0), F.lit(50.0))), rel=1e-9)
+
+
+def test_p_columns_need_no_python(spark):
+    df = spark.range(3).select(P.p_normal("id"), P.p_student("id", F.lit(4.0)), P.p_chi2("id", F.lit(2.0)))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_p_columns_pass_missing_through(spark):
     df = spark.createDataFrame([(1.959963984540054,), (None,)], "z double")
     got = [r[0] for r in df.select(P.p_normal("z")).collect()]

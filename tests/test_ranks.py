@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from twosight.operators import inference, ranks
+from twosight.operators import inference, ordered, ranks
 
 
 @pytest.fixture(scope="module")
@@ -151,3 +151,23 @@ def test_chi_square_larger_table(df, frame):
 def test_chi_square_of_one_level_is_missing(spark):
     r = inference.chi_square(spark.createDataFrame([("a", "x"), ("b", "x")], "g string, c string"), "g", "c").first()
     assert r.chi2 is None and r.p is None
+
+
+def test_a_common_value_is_many_keys(spark):
+    """Half of all rows share one value of x; the ranges that the rank join works by stay even."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    x = np.where(rng.random(n) < 0.5, 7.0, rng.integers(0, 500, n).astype(float))
+    frame = pd.DataFrame({"x": x, "y": rng.permutation(n).astype(float), "g": rng.permutation(n) % 1000})
+    df = spark.createDataFrame(frame).repartition(5)
+    for order, cells in ((["x", "y"], ["x", "y"]), (["x", "g"], ["x", "g"])):
+        sizes = [r["count"] for r in ordered.ranged(df.select(*cells).distinct(), order, ranges=12).groupBy("_range").count().collect()]
+        assert len(sizes) == 12 and max(sizes) <= 2 * np.median(sizes)
+    r = ranks.spearman(df, "x", "y", ranges=12).first()
+    rx, ry = frame.x.rank(), frame.y.rank()
+    assert r.n == n and abs(r.rho - np.corrcoef(rx, ry)[0, 1]) < 1e-12
+    h = ranks.kruskal(df, "x", "g", ranges=12).first()
+    sums = rx.groupby(frame.g).agg(["sum", "size"])
+    ties = frame.x.value_counts()
+    want = (12 / (n * (n + 1)) * (sums["sum"] ** 2 / sums["size"]).sum() - 3 * (n + 1)) / (1 - (ties**3 - ties).sum() / (n**3 - n))
+    assert h.groups == 1000 and abs(h.h - want) < 1e-8 * want

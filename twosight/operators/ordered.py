@@ -34,11 +34,7 @@ def prefix_sums(
     """
     keys = list(by)
     order_cols = [col(o) for o in order]
-    work = df.select("*", *[c.alias(f"_x_{name}") for name, c in sums.items()])
-    spread = [*keys, *order_cols]
-    work = work.repartitionByRange(ranges, *spread) if ranges else work.repartitionByRange(*spread)
-    # The range boundaries come from a sample, so both branches below must read one written copy.
-    work = stable(work.withColumn("_range", F.spark_partition_id()))
+    work = ranged(df.select("*", *[c.alias(f"_x_{name}") for name, c in sums.items()]), order, keys, ranges)
     lump = ["_range", *keys]
     earlier = Window.partitionBy(*lump).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     inside = work.select("*", *[F.sum(f"_x_{n}").over(earlier).alias(f"_in_{n}") for n in sums])
@@ -60,6 +56,16 @@ def prefix_sums(
     )
 
 
+def ranged(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """The rows, written, with the number ``_range`` of their range in the order of (``by``, ``order``).
+
+    The range boundaries come from a sample, so whatever reads the ranges more than once must read one written copy.
+    """
+    spread = [*by, *[col(o) for o in order]]
+    out = df.repartitionByRange(ranges, *spread) if ranges else df.repartitionByRange(*spread)
+    return stable(out.withColumn("_range", F.spark_partition_id()))
+
+
 def join_stat_by_range(rows: DataFrame, stat: DataFrame, by: Sequence[str]) -> DataFrame:
     """Give every ordered row the statistic of its group without bringing the group together.
 

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from twosight.functions.nulls import col, count_if
 from twosight.functions.pvalues import p_chi2, p_normal, p_student
 from twosight.operators.inference import correlation_t
-from twosight.operators.joins import attach
-from twosight.operators.ordered import prefix_sums
-from twosight.session import stable
+from twosight.operators.ordered import join_stat_by_range, prefix_sums, ranged
 
 
 def _average_rank(n: str, before: str) -> Column:
@@ -90,13 +88,14 @@ def kruskal(
 ) -> DataFrame:
     """Kruskal-Wallis ``h`` with tie correction over any number of groups."""
     rows = df.select(*by, col(value).cast("double").alias("_v"), col(group).alias("_g")).dropna(subset=["_v", "_g"])
-    classes = stable(rows.groupBy(*by, "_v", "_g").agg(F.count(F.lit(1)).alias("c")))
+    classes = ranged(rows.groupBy(*by, "_v", "_g").agg(F.count(F.lit(1)).alias("c")), ["_v", "_g"], by, ranges)
     cells = classes.groupBy(*by, "_v").agg(F.sum("c").alias("n"))
     ranked = prefix_sums(cells, ["_v"], {"n": F.col("n")}, by, ranges).select(
         *by, "_v", _average_rank("n", "n_before").alias("_rank"), "n", "n_total"
     )
-    # The cell's own size rides along once per class; c/n shares it out so that it is counted once.
-    scored = attach(classes, ranked, [*by, "_v"])
+    # The cell's own size rides along once per class; c/n shares it out so that it is counted once. A common value of
+    # many classes lies in several ranges: its rank goes to the (range, value) pairs and from there to the classes.
+    scored = join_stat_by_range(classes, ranked, [*by, "_v"])
     per_class = scored.groupBy(*by, "_g").agg(
         F.sum(F.col("c") * F.col("_rank")).alias("_r"),
         F.sum("c").cast("double").alias("_m"),
@@ -131,7 +130,7 @@ def spearman(
     pairs = df.select(*by, col(x).cast("double").alias("_x"), col(y).cast("double").alias("_y")).dropna(
         subset=["_x", "_y"]
     )
-    joint = stable(pairs.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("c")))
+    joint = ranged(pairs.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("c")), ["_x", "_y"], by, ranges)
 
     def ranks(v: str, name: str) -> DataFrame:
         cells = joint.groupBy(*by, v).agg(F.sum("c").alias("n"))
@@ -140,7 +139,9 @@ def spearman(
             *by, v, (_average_rank("n", "n_before") - (F.col("n_total") + 1) / F.lit(2.0)).alias(name)
         )
 
-    both = attach(attach(joint, ranks("_x", "rx"), [*by, "_x"]), ranks("_y", "ry"), [*by, "_y"])
+    # A common value of one side goes with many of the other; the ranges of (value, other) split it, for each side anew.
+    by_x = join_stat_by_range(joint, ranks("_x", "rx"), [*by, "_x"]).drop("_range")
+    both = join_stat_by_range(ranged(by_x, ["_y", "_x"], by, ranges), ranks("_y", "ry"), [*by, "_y"])
     s = both.groupBy(*by).agg(
         F.sum("c").alias("n"),
         F.sum(F.col("c") * F.col("rx") * F.col("ry")).alias("_xy"),
