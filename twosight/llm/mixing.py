@@ -11,6 +11,8 @@ from .common import WORD, drop, let, running_totals, written
 
 #: Golden-ratio points in whole numbers: slot i lies at (i * STEP mod MODULUS) / MODULUS. MODULUS is prime, STEP its golden section.
 MODULUS, STEP = 2_147_483_647, 1_327_217_885
+#: Words of the mix in one file, to the next whole block.
+FILE_WORDS = 4_000_000
 _BLANK = r"[\x20\x09-\x0D]"
 
 
@@ -89,13 +91,13 @@ def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
     return docs.select(
         docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), docs[id_col], text).alias("_h"), text.alias("text"),
+        F.xxhash64(F.lit(seed), docs[id_col], text).alias("_h"), F.xxhash64(F.lit(seed), text, docs[id_col]).alias("_g"), text.alias("text"),
     )
 
 
 def _pieces(docs: DataFrame, placed: DataFrame, sources: DataFrame, cap: float, block: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """The rows of pieces(), with doc_at to tell equal documents apart, written."""
-    n_slots, n_sources = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    n_slots, longest, n_sources = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.coalesce(F.max("quota"), F.lit(0)), F.count("*")).first()
     slots = schedule(docs.sparkSession, sources.select("source_no", "target", "quota"), int(n_slots), int(n_sources))
     rounds = placed.where("size > 0").withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(max(0, -int(-cap // 1) - 1)))))
     rounds = rounds.withColumn("_from", F.col("_start") - F.col("_base") + F.col("_round") * F.col("source_size"))
@@ -106,13 +108,11 @@ def _pieces(docs: DataFrame, placed: DataFrame, sources: DataFrame, cap: float,
     parts = parts.withColumn("at", start).withColumn("_n", F.least(F.col("_to"), (F.col("rank") + 1) * block) - start)
     piece = F.struct("slot", "rank", "at", (F.col("at") - F.col("_from")).cast("int").alias("first_word"), F.col("_n").cast("int").alias("n_words"))
     spans = parts.join(slots, ["source_no", "rank"]).groupBy("_start").agg(F.collect_list(piece).alias("_spans"))
-    spans = written(placed.where("size > 0").select("_start", "doc_id", "source", "size", "_h").join(spans, "_start"))
-    # Rows with equal keys have equal texts, so one text serves them all.
-    texts = _keyed(docs, seed, id_col, text_col, source_col).where("size > 0").groupBy("_h", "doc_id", "source", "size").agg(F.any_value("text").alias("text"))
-    same = texts["_h"] == spans["_h"]
-    for c in ("doc_id", "source", "size"):
-        same &= texts[c].eqNullSafe(spans[c])
-    both = texts.select("*").join(spans, same).select(spans["_start"], spans["doc_id"], spans["source"], "_spans", "text")
+    spans = written(placed.where("size > 0").select("_start", "doc_id", "source", "_h", "_g").join(spans, "_start"))
+    # Rows with equal hashes have equal ids and texts, so one text serves them all. Both sides are dealt by the hashes
+    # alone, so the texts that the aggregate has dealt are not dealt again for the join.
+    texts = _keyed(docs, seed, id_col, text_col, source_col).where("size > 0").groupBy("_h", "_g").agg(F.any_value("text").alias("text"))
+    both = texts.join(spans.hint("merge"), ["_h", "_g"]).select("_start", "doc_id", "source", "_spans", "text")
     # The text is cut before each word, so a word keeps the white space that follows it; that of the last word goes.
     cut = F.split(F.regexp_replace("text", f"^{_BLANK}+", ""), f"(?<={_BLANK})(?={WORD[:-1]})")
     whole = lambda w, x: F.regexp_replace(F.array_join(F.slice(w, x["first_word"] + 1, x["n_words"]), ""), rf"{_BLANK}+\z", "")
@@ -122,7 +122,11 @@ def _pieces(docs: DataFrame, placed: DataFrame, sources: DataFrame, cap: float,
         "_x.p.slot", "source", "_x.p.rank", "_x.p.at", "doc_id", "_x.p.first_word",
         (F.col("_x.p.first_word") + F.col("_x.p.n_words") - 1).alias("last_word"), "_x.text", F.col("_start").alias("doc_at"),
     )
-    out = written(rows.repartitionByRange("slot", "at").sortWithinPartitions("slot", "at"))
+    # A piece's file follows from its slot, so nothing is sampled for it.
+    per_file = max(1, FILE_WORDS // block)
+    files = (int(n_slots) + int(longest)) // per_file + 1
+    placed_rows = rows.repartitionById(files, F.floor(F.col("slot") / per_file).cast("int"))
+    out = written(placed_rows.sortWithinPartitions("slot", "at"))
     drop(spans)
     return out
 
@@ -140,7 +144,7 @@ def pieces(
     are its words in the document, text is the document from the one to the other, white space between them unchanged.
 
     Null and blank texts give no rows, as does an empty table. Null is a source of its own, the last. Repeated rows and
-    ids are separate documents. The files last until the scratch tables are cleared.
+    ids are separate documents. A share above cap is an error (ValueError). The files last until the scratch tables are cleared.
     """
     placed, sources = _laid(docs, weights, share, cap, seed, block, id_col, text_col, source_col)
     return _pieces(docs, placed, sources, cap, block, seed, id_col, text_col, source_col).drop("doc_at")
