@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,6 +37,23 @@ def clear(spark: SparkSession) -> None:
         delete(spark, folder)
 
 
+def folders(spark: SparkSession) -> list[str]:
+    """The scratch tables of this application, the oldest first."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, old: list[str], keep: DataFrame) -> None:
+    """Deletes the given scratch tables but those that keep reads, and lets the driver drop shuffles that nothing needs."""
+    read = keep.inputFiles()
+    gone = [f for f in old if not any(f.rsplit("/", 1)[1] in path for path in read)]
+    for folder in gone:
+        delete(spark, folder)
+    app = spark.sparkContext.applicationId
+    _written[app] = [f for f in _written.get(app, []) if f not in gone]
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _at_exit(spark: SparkSession, app: str) -> None:
     try:
         if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:

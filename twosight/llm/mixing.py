@@ -96,7 +96,7 @@ def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
 
 
 def _pieces(docs: DataFrame, placed: DataFrame, sources: DataFrame, cap: float, block: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """The rows of pieces(), with doc_at to tell equal documents apart, written."""
+    """The rows of pieces(), with doc_at to tell equal documents apart, dealt and sorted into files but not yet written."""
     n_slots, longest, n_sources = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.coalesce(F.max("quota"), F.lit(0)), F.count("*")).first()
     slots = schedule(docs.sparkSession, sources.select("source_no", "target", "quota"), int(n_slots), int(n_sources))
     rounds = placed.where("size > 0").withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(max(0, -int(-cap // 1) - 1)))))
@@ -125,10 +125,7 @@ def _pieces(docs: DataFrame, placed: DataFrame, sources: DataFrame, cap: float,
     # A piece's file follows from its slot, so nothing is sampled for it.
     per_file = max(1, FILE_WORDS // block)
     files = (int(n_slots) + int(longest)) // per_file + 1
-    placed_rows = rows.repartitionById(files, F.floor(F.col("slot") / per_file).cast("int"))
-    out = written(placed_rows.sortWithinPartitions("slot", "at"))
-    drop(spans)
-    return out
+    return rows.repartitionById(files, F.floor(F.col("slot") / per_file).cast("int")).sortWithinPartitions("slot", "at")
 
 
 def pieces(
@@ -147,7 +144,7 @@ def pieces(
     ids are separate documents. A share above cap is an error (ValueError). The files last until the scratch tables are cleared.
     """
     placed, sources = _laid(docs, weights, share, cap, seed, block, id_col, text_col, source_col)
-    return _pieces(docs, placed, sources, cap, block, seed, id_col, text_col, source_col).drop("doc_at")
+    return written(_pieces(docs, placed, sources, cap, block, seed, id_col, text_col, source_col).drop("doc_at"))
 
 
 def mix(
@@ -156,14 +153,15 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, weight, target, taken, first_slot.
 
-    size is the number of words. taken adds up the document's words in the written rows of pieces(), repeats counted, and
-    so never exceeds cap times its size; first_slot is the first slot that takes any of them, null if none does.
+    size is the number of words. taken is the number of words in the texts of the document's pieces, counted in the mixed
+    rows that pieces() writes, repeats included, and so never exceeds cap times its size; first_slot is the first slot that
+    takes any of them, null if none does.
 
     Null and blank texts have size 0 and take nothing. Null is a source of its own, the last. Repeated rows and ids
     are separate documents. An empty table gives no rows. Other columns of docs are not returned.
     """
     placed, sources = _laid(docs, weights, share, cap, seed, block, id_col, text_col, source_col)
     mixed = _pieces(docs, placed, sources, cap, block, seed, id_col, text_col, source_col)
-    taken = mixed.groupBy(F.col("doc_at").alias("_at")).agg(F.sum(F.col("last_word") - F.col("first_word") + 1).alias("_taken"), F.min("slot").alias("first_slot"))
+    taken = mixed.groupBy(F.col("doc_at").alias("_at")).agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("_taken"), F.min("slot").alias("first_slot"))
     out = placed.join(taken, (F.col("_start") == F.col("_at")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "source", "size", "source_size", "weight", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
