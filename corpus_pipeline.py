@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +48,31 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
+_left: dict[str, list[str]] = {}
+
+
+def tidy(stage):
+    """The stage, first deleting the scratch tables that the stage before it made and nothing else reads any more: what
+    that stage returned has been written and read again."""
+
+    @functools.wraps(stage)
+    def started(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        common.discard(spark, _left.pop(app, []), keep=docs)
+        before = set(common.folders(spark))
+        found = stage(spark, docs, sf_dir)
+        _left[app] = [folder for folder in common.folders(spark) if folder not in before]
+        return found
+
+    return started
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("mixture", mixture),
+    ("language_id", tidy(language_id)),
+    ("line_dedup", tidy(line_dedup)),
+    ("near_dedup", tidy(near_dedup)),
+    ("decontamination", tidy(decontamination)),
+    ("mixture", tidy(mixture)),
 ]
 
 
