@@ -25,14 +25,16 @@ def line_table(table: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     kept = F.filter(lines, lambda x: ~x.rlike(_BLANK))
     entry = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("words"))
     rows = written(table.select("_row", F.col(id_col).alias("_id"), F.transform(kept, entry).alias("_lines")).where(F.size("_lines") > 0))
-    sizes = rows.select("_row", "_id", F.size("_lines").cast("long").alias("_n"))
-    placed = running_totals(sizes, [F.col("_id").asc_nulls_last(), F.col("_row")], "_n", "base")
-    placed = written(placed.select("_row", "base", (F.col("base") + F.col("_n")).alias("end")))
-    every = rows.join(placed, "_row").select("base", "end", F.posexplode("_lines").alias("_at", "_line"))
+    # The lines go with their documents into the order, so that none has to be joined to its place.
+    sized = rows.withColumn("_n", F.size("_lines").cast("long"))
+    laid = running_totals(sized, [F.col("_id").asc_nulls_last(), F.col("_row")], "_n", "base")
+    drop(rows)
+    placed = written(laid.select("_row", "base", (F.col("base") + F.col("_n")).alias("end")))
+    every = laid.select("base", (F.col("base") + F.col("_n")).alias("end"), F.posexplode("_lines").alias("_at", "_line"))
     every = written(every.select((F.col("base") + F.col("_at")).alias("pos"), "end", "_line.a", "_line.b", "_line.words"))
+    drop(laid)
     first = every.groupBy("a", "b").agg(F.min("pos").alias("name"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     named = written(every.join(first.hint("merge"), ["a", "b"]).select("pos", "end", "name", "words"))
-    drop(rows)
     drop(every)
     return placed, named
 
@@ -43,9 +45,9 @@ def doubled(level: DataFrame, length: int) -> DataFrame:
     A run of 2 * length lines is the pair of the names at pos and pos + length. Runs with equal pairs are one interval,
     named by its first place; intervals of a single run are dropped, since no longer run from there can repeat."""
     other = level.select((F.col("pos") - length).alias("pos"), F.col("name").alias("_next"))
-    pairs = level.where(F.col("pos") + length < F.col("end")).join(other, "pos").select("pos", "end", "name", "_next")
+    pairs = level.where(F.col("pos") + length < F.col("end")).join(other.hint("merge"), "pos").select("pos", "end", "name", "_next")
     first = pairs.groupBy("name", "_next").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    return pairs.join(first, ["name", "_next"]).select("pos", "end", F.col("_first").alias("name"))
+    return pairs.join(first.hint("merge"), ["name", "_next"]).select("pos", "end", F.col("_first").alias("name"))
 
 
 def repeated_runs(named: DataFrame, min_words: int) -> DataFrame:
@@ -70,28 +72,28 @@ def repeated_runs(named: DataFrame, min_words: int) -> DataFrame:
     for k, level in enumerate(levels):
         here = level.select("pos", "end", "name", F.lit(1 << k).cast("long").alias("length"), F.lit(k).alias("k"))
         if k + 1 < len(levels):
-            here = here.join(levels[k + 1].where("name < pos").select("pos"), "pos", "left_anti")
+            here = here.join(levels[k + 1].where("name < pos").select("pos").hint("merge"), "pos", "left_anti")
         places = here if places is None else places.unionByName(here)
     places = written(places)
     for k in range(len(levels) - 2, -1, -1):
         names = levels[k].select(F.col("pos").alias("_p"), "end", F.col("name").alias("_next"))
         tried = places.where(F.col("k") > k).withColumn("_p", F.col("pos") + F.col("length")).where("_p < end")
-        tried = written(tried.join(names, ["_p", "end"]).drop("_p"))
+        tried = written(tried.join(names.hint("merge"), ["_p", "end"]).drop("_p"))
         first = tried.groupBy("name", "length", "_next").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        longer = written(tried.join(first, ["name", "length", "_next"]).select("pos", "end", "length", "k", "_first"))
+        longer = written(tried.join(first.hint("merge"), ["name", "length", "_next"]).select("pos", "end", "length", "k", "_first"))
         gone = longer.where("_first < pos").select("pos", "length")
         up = longer.select("pos", "end", F.col("_first").alias("name"), (F.col("length") + (1 << k)).alias("length"), "k")
-        new = written(places.join(gone, ["pos", "length"], "left_anti").unionByName(up))
+        new = written(places.join(gone.hint("merge"), ["pos", "length"], "left_anti").unionByName(up))
         for old in (places, tried, longer):
             drop(old)
         places = new
     best = places.where("name < pos").select("pos", "end", "length", F.col("name").alias("original"))
     before = best.select((F.col("pos") + 1).alias("pos"), "end", (F.col("length") - 1).alias("_rest"))
-    runs = best.join(before, ["pos", "end"], "left").where("_rest is null or _rest < length").drop("_rest")
+    runs = best.join(before.hint("merge"), ["pos", "end"], "left").where("_rest is null or _rest < length").drop("_rest")
     total = F.sum("words").over(Window.partitionBy("end").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sums = named.select("pos", "words", total.alias("_sum"))
     last = sums.select((F.col("pos") + 1).alias("_stop"), F.col("_sum").alias("_to"))
-    runs = runs.withColumn("_stop", F.col("pos") + F.col("length")).join(sums, "pos").join(last, "_stop")
+    runs = runs.withColumn("_stop", F.col("pos") + F.col("length")).join(sums.hint("merge"), "pos").join(last.hint("merge"), "_stop")
     out = written(runs.where(F.col("_to") - F.col("_sum") + F.col("words") >= min_words).select("pos", "end", "length", "original"))
     for level in [*levels[1:], places]:
         drop(level)
@@ -115,7 +117,7 @@ def without_repeats(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     placed, known = line_table(table, id_col, text_col)
     runs = repeated_runs(known, min_words)
     span = F.struct((F.col("pos") - F.col("base")).cast("int").alias("first"), F.col("length").cast("int").alias("length"))
-    own = written(runs.join(placed, "end").groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("removed_runs")))
+    own = written(runs.join(placed.hint("merge"), "end").groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("removed_runs")))
     rows = table.join(own.hint("merge"), "_row", "left").drop("_row")
     empty = F.array().cast(own.schema["removed_runs"].dataType)
     rows = rows.withColumn("removed_runs", F.coalesce("removed_runs", empty))
