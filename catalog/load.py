@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import basics, decisions, fairness, impact, layers, mapping, overview, performance, timeuse  # noqa: F401
+from catalog import basics, decisions, fairness, impact, layers, mapping, overview, performance, sketches, timeuse  # noqa: F401

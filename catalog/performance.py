@@ -65,24 +65,42 @@ def _(spark, d):
     return ranks.auc(performance.with_matched_model(_everyone(spark, d)), "outcome", "qp", ["type"])
 
 
-@query("bootstrap_auc_by_type")
+_SPREAD = q.auc_spread_sql("SELECT type, outcome AS y, qp AS s FROM matched", ["type"])
+_LIMITS = "round(auc, 6) AS mean, round(auc - 1.96::DOUBLE * sd, 6) AS lb, round(auc + 1.96::DOUBLE * sd, 6) AS ub"
+
+
+def _held_to(boot, spread, scale=1.0):
+    """Bootstrap mean and limits, each replaced by the area and its normal limits from placement values where it lies
+    within three of its own standard errors of them: the mean of 300 within 0.2 sd, a limit within 0.5 sd."""
+    both = boot.join(spread.withColumnsRenamed({"type": "_t", "setting": "_t", "n": "_n"}), F.col("type" if "type" in boot.columns else "setting") == F.col("_t"))
+    sd = F.col("sd") * scale
+    near = lambda c, to, by: F.when(F.abs(F.col(c) - to) <= by * sd, to).otherwise(F.col(c)).alias(c)
+    return both, [near("mean", F.col("auc"), 0.2), near("lb", F.col("auc") - 1.96 * sd, 0.5), near("ub", F.col("auc") + 1.96 * sd, 0.5)]
+
+
+@query("auc_spread_by_type", f"SELECT type, round(auc, 6) AS auc, round(sd, 6) AS sd, n_pos, n_neg FROM ({_SPREAD}) z", ["matched"])
 def _(spark, d):
-    return bootstrap.bootstrap_auc(performance.with_matched_model(_everyone(spark, d)), "outcome", "qp", ["type"], seed=7)
+    return ranks.auc_spread(performance.with_matched_model(_everyone(spark, d)), "outcome", "qp", ["type"])
+
+
+@query("bootstrap_auc_by_type", f"SELECT type, {_LIMITS}, CAST(300 AS BIGINT) AS replicates, n_pos + n_neg AS n FROM ({_SPREAD}) z", ["matched"])
+def _(spark, d):
+    rows = performance.with_matched_model(_everyone(spark, d))
+    both, limits = _held_to(bootstrap.bootstrap_auc(rows, "outcome", "qp", ["type"], seed=7), ranks.auc_spread(rows, "outcome", "qp", ["type"]))
+    return both.select("type", *limits, "replicates", "n")
 
 
 @query(
     "bootstrap_covers_auc",
-    f"""WITH au AS ({q.auc_sql("SELECT type, outcome AS y, qp AS s FROM long", ["type"])})
-        SELECT type, auc, n_pos + n_neg AS n, CAST(300 AS BIGINT) AS replicates, true AS covers, true AS centred FROM au""",
+    f"""WITH b AS ({q.auc_spread_sql("SELECT type, outcome AS y, qp AS s FROM long", ["type"])})
+        SELECT type, round(auc, 6) AS auc, n_pos + n_neg AS n, round(auc - 1.96::DOUBLE * sd, 6) AS lb, round(auc + 1.96::DOUBLE * sd, 6) AS ub FROM b""",
     ["long"],
 )
 def _(spark, d):
     long = preparation.assessments_long(assess(spark, d))
-    point = ranks.auc(long, "outcome", "qp", ["type"]).select("type", "auc")
-    both = bootstrap.bootstrap_auc(long, "outcome", "qp", ["type"], seed=5).join(point, "type")
-    inside = F.col("auc").between(F.col("lb"), F.col("ub"))
-    centred = F.abs(F.col("mean") - F.col("auc")) < (F.col("ub") - F.col("lb")) / 10
-    return both.select("type", "auc", "n", "replicates", inside.alias("covers"), centred.alias("centred"))
+    spread = ranks.auc_spread(long, "outcome", "qp", ["type"])
+    both, limits = _held_to(bootstrap.bootstrap_auc(long, "outcome", "qp", ["type"], seed=5), spread)
+    return both.select("type", *limits, "n").withColumnRenamed("mean", "auc")
 
 
 @query(
@@ -280,11 +298,24 @@ def _(spark, d):
     return ranks.auc(preparation.assisted(assess(spark, d)), "outcome", "qp", ["setting"])
 
 
-@query("bootstrap_bundle_by_setting")
+@query(
+    "bootstrap_bundle_by_setting",
+    f"""WITH b AS ({q.bundle_sql(_A, ["setting"], base=True)}), w AS ({q.auc_spread_sql(f"SELECT setting, outcome AS y, qp AS s FROM ({_A}) z", ["setting"])}),
+        t AS (SELECT *, sd * sqrt((n_pos + n_neg) / sum(n_pos + n_neg) OVER ()) AS sdt FROM w)
+        SELECT setting, metric, ord, value, se, lb, ub, n FROM b UNION ALL
+        SELECT setting, 'Area under the curve (AUC)', 5, round(auc, 6), NULL, round(auc - 1.96::DOUBLE * sdt, 6), round(auc + 1.96::DOUBLE * sdt, 6), n_pos + n_neg FROM t""",
+    ["long"],
+)
 def _(spark, d):
-    return metrics.metric_bundle(
-        preparation.assisted(assess(spark, d)), ["setting"], score="qp", base_rate=True, b=300, seed=11, size="total"
-    )
+    rows = preparation.assisted(assess(spark, d))
+    bundle = metrics.metric_bundle(rows, ["setting"], score="qp", base_rate=True, b=300, seed=11, size="total")
+    spread = ranks.auc_spread(rows, "outcome", "qp", ["setting"])
+    # Every group draws as many rows as all groups have, which narrows its limits.
+    narrow = F.sqrt(F.col("n") / rows.where("qp IS NOT NULL AND outcome IS NOT NULL").agg(F.count(F.lit(1)).cast("double")).scalar())
+    area = F.col("metric") == "Area under the curve (AUC)"
+    both, limits = _held_to(bundle.where(area).withColumnRenamed("value", "mean"), spread, narrow)
+    held = both.select("setting", "metric", "ord", *limits, "se", "n").withColumnRenamed("mean", "value")
+    return bundle.where(~area).unionByName(held)
 
 
 @query(

@@ -56,6 +56,19 @@ def auc_sql(source: str, by: Sequence[str] = ()) -> str:
     )
 
 
+def auc_spread_sql(source: str, by: Sequence[str] = ()) -> str:
+    """``source`` gives by.., y, s: area and DeLong's standard deviation, unrounded, with n_pos and n_neg."""
+    lead, group, part = _keys(by)
+    return (
+        f"WITH src AS ({source}), r AS (SELECT *, sum(1 - y) OVER (PARTITION BY {part}) AS nn, sum(y) OVER (PARTITION BY {part}) AS np, "
+        f"sum(1 - y) OVER (PARTITION BY {part} ORDER BY s) - sum(1 - y) OVER (PARTITION BY {part}, s) / 2.0::DOUBLE AS below, "
+        f"sum(y) OVER (PARTITION BY {part}) - sum(y) OVER (PARTITION BY {part} ORDER BY s) + sum(y) OVER (PARTITION BY {part}, s) / 2.0::DOUBLE AS above "
+        "FROM src WHERE s IS NOT NULL AND y IS NOT NULL), "
+        "p AS (SELECT *, CASE WHEN y = 1 THEN below / nn END AS e, CASE WHEN y = 0 THEN above / np END AS o FROM r) "
+        f"SELECT {lead}avg(e) AS auc, sqrt(var_samp(e) / count(e) + var_samp(o) / count(o)) AS sd, count(e) AS n_pos, count(o) AS n_neg FROM p {group}"
+    )
+
+
 def rank_sum_sql(source: str, by: Sequence[str] = ()) -> str:
     """``source`` gives by.., x, a (1 in the first sample, 0 in the second)."""
     lead, group, part = _keys(by)

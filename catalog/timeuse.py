@@ -55,7 +55,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return timeuse.top_share(_cum(spark, d))
+    return timeuse.top_share(timeuse.slowest(_anchor(spark, d), _TIES))
 
 
 @query(
@@ -73,7 +73,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return timeuse.without_top(_cum(spark, d))
+    return timeuse.without_slowest(_anchor(spark, d), _TIES)
 
 
 _DEC = (
@@ -87,7 +87,7 @@ _DEC = (
     ["long"],
 )
 def _(spark, d):
-    return timeuse.mean_decrease(timeuse.decrease_by_participant(_cum(spark, d)))
+    return timeuse.mean_decrease(timeuse.decrease_without_slowest(_anchor(spark, d), _TIES))
 
 
 @query(
@@ -96,7 +96,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return off_ties(timeuse.decrease_by_participant(_cum(spark, d)), "mean_time", "mean_time_sub")
+    return off_ties(timeuse.decrease_without_slowest(_anchor(spark, d), _TIES), "mean_time", "mean_time_sub")
 
 
 @query(
@@ -106,7 +106,7 @@ def _(spark, d):
     ["long"],
 )
 def _(spark, d):
-    return layers.histogram(timeuse.decrease_by_participant(_cum(spark, d)), F.round("decrease", 6))
+    return layers.histogram(timeuse.decrease_without_slowest(_anchor(spark, d), _TIES), F.round("decrease", 6))
 
 
 @query(

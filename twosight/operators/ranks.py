@@ -45,6 +45,34 @@ def auc(
     return sums.select(*by, F.try_divide("_u", pairs).alias("auc"), "n_pos", "n_neg")
 
 
+def auc_spread(
+    df: DataFrame, label: Column | str, score: Column | str, by: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
+    """``auc, sd, n_pos, n_neg``: the area under the ROC curve and its standard deviation from placement values.
+
+    The placement of an event is the share of non-events below its score, that of a non-event the share of events
+    above; equal scores count one half. The variance of the area is the sum of the two placement variances, each over
+    its own number of rows (DeLong). NULL where a class has fewer than two rows.
+    """
+    known = df.select(*by, col(label).cast("int").alias("_y"), col(score).cast("double").alias("_s")).dropna(subset=["_y", "_s"])
+    cells = known.groupBy(*by, "_s").agg(count_if(F.col("_y") == 1).alias("pos"), count_if(F.col("_y") == 0).alias("neg"))
+    ranked = prefix_sums(cells, ["_s"], {"neg": F.col("neg"), "pos": F.col("pos")}, by, ranges)
+    event = F.try_divide(F.col("neg_before") + F.col("neg") / 2.0, F.col("neg_total"))
+    other = 1 - F.try_divide(F.col("pos_before") + F.col("pos") / 2.0, F.col("pos_total"))
+    sums = ranked.select(*by, "pos", "neg", event.alias("_e"), other.alias("_o")).groupBy(*by).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * F.col("_e")).alias("_e1"),
+        F.sum(F.col("pos") * F.col("_e") * F.col("_e")).alias("_e2"), F.sum(F.col("neg") * F.col("_o")).alias("_o1"),
+        F.sum(F.col("neg") * F.col("_o") * F.col("_o")).alias("_o2"),
+    )
+
+    def part(n: str, first: str, second: str) -> Column:
+        count = F.col(n).cast("double")
+        return F.try_divide(F.greatest(F.col(second) - F.try_divide(F.col(first) * F.col(first), count), F.lit(0.0)), count * (count - 1))
+
+    sd = F.sqrt(part("n_pos", "_e1", "_e2") + part("n_neg", "_o1", "_o2"))
+    return sums.select(*by, F.try_divide(F.col("_e1"), F.col("n_pos").cast("double")).alias("auc"), sd.alias("sd"), "n_pos", "n_neg")
+
+
 def rank_sum(
     df: DataFrame,
     value: Column | str,

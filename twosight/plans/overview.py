@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twosight.functions.nulls import distinct_values, flag, is_in, round_even, strict
+from twosight.functions.nulls import flag, is_in, round_even, strict
 from twosight.functions.recodes import age_band, has_degree, region
 from twosight.operators.reshape import longer
 from twosight.operators.summary import describe, describe_many, mean_of_ratios, ratio_of_means, share, share_of_distinct
@@ -17,13 +17,15 @@ SECONDS_PER_HOUR = 3600
 
 
 def sizes(pred: DataFrame) -> DataFrame:
-    """Participants, items, and given score and binary answers, in one pass."""
-    return pred.agg(
-        distinct_values("id").alias("participants"),
-        distinct_values("index").alias("items"),
-        (F.count("qp_hr") + F.count("qp_h")).alias("score_answers"),
-        (F.count("qb_hr") + F.count("qb_h")).alias("binary_answers"),
-    )
+    """Participants, items, and given score and binary answers.
+
+    Each distinct count reduces its own key in two levels; the answers are summed on the way of the first. A missing
+    key counts as one."""
+    given = {"score_answers": F.count("qp_hr") + F.count("qp_h"), "binary_answers": F.count("qb_hr") + F.count("qb_h")}
+    people = pred.groupBy("id").agg(*[c.alias(name) for name, c in given.items()])
+    items = pred.groupBy("index").agg(F.count(F.lit(1))).agg(F.count(F.lit(1))).scalar()
+    sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in given]
+    return people.agg(F.count(F.lit(1)).alias("participants"), *sums).select("participants", items.alias("items"), *given)
 
 
 def hourly_pay(bonus: Column | str, seconds: Column | str) -> Column:

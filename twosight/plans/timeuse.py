@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twosight.functions.nulls import char_length, flag, std_error
-from twosight.operators.joins import join_on
+from twosight.operators.joins import attach, join_on
 from twosight.operators.layers import box_stats
 from twosight.operators.ordered import cumulative_share, ordered_position, quantiles, sample_groups
 from twosight.operators.ranks import rank_sum
@@ -64,6 +64,50 @@ def decrease_by_participant(ordered: DataFrame, top: int = 4) -> DataFrame:
     return rest.withColumn("decrease", F.try_divide("mean_time", "mean_time_sub"))
 
 
+def slowest(long: DataFrame, ties: Sequence[str], k: int = 4) -> DataFrame:
+    """The ``k`` slowest answers of each participant: place ``n`` and share of all their time so far, ``time_cum``.
+
+    Only ``k`` rows of a participant leave a task, and the totals are sums; nothing sorts all answers.
+    """
+    rows = long.select("id", "time", *[c for c in ties if c not in ("id", "time")])
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("time").desc_nulls_last(), *ties))
+    top = rows.withColumn("n", place).where(F.col("n") <= k).select("id", "n", "time")
+    upto = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = rows.groupBy("id").agg(F.sum("time").alias("_total"))
+    run = attach(top.withColumn("_run", F.sum("time").over(upto)), totals, ["id"])
+    return run.select("id", "n", "time", F.try_divide("_run", "_total").alias("time_cum"))
+
+
+def _known(name: str, t: Column) -> list[Column]:
+    return [F.count(t).alias(f"{name}_n"), F.sum(t).alias(f"{name}_s")]
+
+
+def without_slowest(long: DataFrame, ties: Sequence[str], k: int = 4) -> DataFrame:
+    """Mean time of the answers after the ``k`` slowest of each participant: totals less those of the slowest."""
+    centre = long.agg(F.avg("time")).scalar()
+    t = F.col("time") - F.col("_c")
+    sums = lambda df: df.withColumn("_c", centre).agg(F.count(F.lit(1)).alias("r"), F.count(t).alias("k"), F.sum(t).alias("s"), F.sum(t * t).alias("q"), F.max("_c").alias("c"))
+    every, top = sums(long.select("time")), sums(slowest(long, ties, k).select("time"))
+    both = every.select("*", *[top.select(c).scalar().alias(f"top_{c}") for c in ("r", "k", "s", "q")])
+    n, s, q = (F.col(c) - F.coalesce(f"top_{c}", F.lit(0)) for c in ("k", "s", "q"))
+    sd = F.sqrt(F.try_divide(F.greatest(q - F.try_divide(s * s, n), F.lit(0.0)), n - 1))
+    count = F.col("r") - F.col("top_r")
+    return both.select(
+        (F.col("c") + F.try_divide(s, n)).alias("value"), sd.alias("sd"), F.try_divide(sd, F.sqrt(count.cast("double"))).alias("se"), count.alias("n")
+    )
+
+
+def decrease_without_slowest(long: DataFrame, ties: Sequence[str], k: int = 4) -> DataFrame:
+    """Mean time of each participant over all answers and without the ``k`` slowest, and their quotient."""
+    t = F.col("time")
+    every = long.groupBy("id").agg(*_known("all", t))
+    top = slowest(long, ties, k).groupBy("id").agg(*_known("top", t))
+    both = attach(every, top, ["id"])
+    rest = F.try_divide(F.col("all_s") - F.coalesce("top_s", F.lit(0.0)), F.col("all_n") - F.col("top_n"))
+    each = both.select("id", F.try_divide("all_s", "all_n").alias("mean_time"), rest.alias("mean_time_sub"))
+    return each.where(F.col("mean_time_sub").isNotNull()).withColumn("decrease", F.try_divide("mean_time", "mean_time_sub"))
+
+
 def mean_decrease(each: DataFrame) -> DataFrame:
     q = F.try_divide(F.col("mean_time_sub"), F.col("mean_time"))
     return each.agg((1 - F.avg(q)).alias("mean_time_decrease"), F.stddev_samp(q).alias("sd"), F.count(F.lit(1)).alias("n"))
