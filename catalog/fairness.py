@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from catalog import sqltext as q
 from catalog.registry import off_ties, query
 from catalog.views import assess
-from twosight.operators import metrics, ranks
+from twosight.operators import metrics, models, ranks
 from twosight.plans import fairness, impact, preparation
 
 _A = "SELECT * FROM long WHERE type = 'hr'"
@@ -65,6 +65,11 @@ def _(spark, d):
     return fairness.calibration_logit(_hr(spark, d), "grp", interact=True)
 
 
+@query("logit_levels", _MAIN, ["long"])
+def _(spark, d):
+    return models.logit_levels(_hr(spark, d), "outcome", ["qp"], "grp")
+
+
 @query("calibration_p_values", f"SELECT term, p FROM ({_MAIN}) z", ["long"])
 def _(spark, d):
     return fairness.calibration_logit(_hr(spark, d), "grp").select("term", "p")

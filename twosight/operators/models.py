@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twosight.functions.nulls import col, count_if, round_even
-from twosight.functions.pvalues import normal_two_sided
-from twosight.operators.joins import with_group_stat
+from twosight.functions.pvalues import normal_two_sided, p_normal
+from twosight.operators.joins import attach, with_group_stat
 from twosight.session import stable
 
 #: Steps of a logistic fit; one that needs more raises.
@@ -269,3 +269,71 @@ def logit(df: DataFrame, y: Column | str, numeric: Sequence[str] = (), category:
 
 def robust_logit(df: DataFrame, y: Column | str, numeric: Sequence[str] = (), category: str | None = None, interact: bool = False) -> DataFrame:
     return fit_logit(df, y, numeric, category, interact).robust()
+
+
+def logit_levels(df: DataFrame, y: Column | str, numeric: Sequence[str], category: str, tol: float = 1e-10) -> DataFrame:
+    """``term, estimate, std_error, statistic, p`` of a logit fit with a category of any number of levels.
+
+    Newton's system is diagonal in the levels, bordered by the few numeric terms: the levels are eliminated from it, which
+    leaves one equation per numeric term (its Schur complement), and each level's own step follows from theirs. A step is one
+    aggregate per level and the sums of those, linear in patterns and levels; the driver sees only the numeric terms. The
+    terms are those of ``logit``: the first level in code-point order is the base. A level with one outcome only has no
+    finite effect and tells nothing of the others: it gets an infinite estimate without errors and is never the base.
+    """
+    cells = patterns(df, y, numeric, category)
+    t = [F.col(f"_t{i}") for i in range(len(numeric))]
+    size = len(t)
+    kinds = cells.groupBy("_c").agg(F.sum("_n1").alias("_n1"), F.sum("_n0").alias("_n0"))
+    start = F.log(F.col("_n1").cast("double") / F.col("_n0"))
+    levels = stable(kinds.where("_n1 > 0 and _n0 > 0").select("_c", start.alias("_a"), F.lit(float("inf")).alias("_step")))
+    slopes = np.zeros(size)
+    for _ in range(MAX_STEPS):
+        line = sum((F.lit(float(b)) * x for b, x in zip(slopes, t)), F.col("_a"))
+        n = (F.col("_n1") + F.col("_n0")).cast("double")
+        mu = 1 / (1 + F.exp(-line))
+        rows = attach(cells, levels, ["_c"]).select("*", (n * mu * (1 - mu)).alias("_w"), (F.col("_n1") - n * mu).alias("_r"))
+        per = rows.groupBy("_c").agg(
+            F.max("_a").alias("_a"), F.max("_step").alias("_step"), F.sum("_w").alias("w"), F.sum("_r").alias("r"),
+            F.array(*[F.sum(F.col("_w") * x) for x in t]).cast("array<double>").alias("c"),
+            F.array(*[F.sum(F.col("_r") * x) for x in t]).cast("array<double>").alias("s"),
+            F.array(*[F.sum(F.col("_w") * a * b) for a in t for b in t]).cast("array<double>").alias("d"),
+        )
+        per = stable(per)
+        c = [F.col("c")[i] for i in range(size)]
+        found = per.agg(
+            F.max(F.abs("_step") / (1 + F.abs("_a"))).alias("step"), F.count(F.lit(1)).alias("levels"),
+            *[F.sum(F.col("s")[i] - c[i] * F.col("r") / F.col("w")).alias(f"g{i}") for i in range(size)],
+            *[F.sum(F.col("d")[i * size + j] - c[i] * c[j] / F.col("w")).alias(f"h{i}_{j}") for i in range(size) for j in range(size)],
+        ).first()
+        if not found["levels"]:
+            break
+        complement = np.array([[found[f"h{i}_{j}"] for j in range(size)] for i in range(size)], float).reshape(size, size)
+        move = np.linalg.solve(complement, np.array([found[f"g{i}"] for i in range(size)], float)) if size else np.zeros(0)
+        if found["step"] < tol and np.all(np.abs(move) < tol * (1 + np.abs(slopes))):
+            break
+        own = F.col("r") - sum((c[i] * float(m) for i, m in enumerate(move)), F.lit(0.0))
+        levels = per.select("_c", (F.col("_a") + own / F.col("w")).alias("_a"), (own / F.col("w")).alias("_step"))
+        slopes = slopes + move
+    else:
+        raise ArithmeticError(f"the logistic fit did not converge in {MAX_STEPS} steps")
+    schema = "term string, estimate double, std_error double"
+    spark = df.sparkSession
+    base = per.orderBy("_c").first()
+    lone = kinds.where("_n1 = 0 or _n0 = 0").select(
+        F.concat(F.lit(category), "_c").alias("term"), F.when(F.col("_n1") > 0, float("inf")).otherwise(float("-inf")).alias("estimate"), F.lit(None).cast("double").alias("std_error")
+    )
+    if base is None:
+        out = lone
+    else:
+        spread = np.linalg.inv(complement) if size else np.zeros((0, 0))
+        lean = np.array(base["c"], float) / base["w"]
+        few = [("(Intercept)", float(base["_a"]), float(np.sqrt(1 / base["w"] + lean @ spread @ lean)))]
+        few += [(name, float(b), float(np.sqrt(v))) for name, b, v in zip(numeric, slopes, np.diag(spread))]
+        apart = [F.col("c")[i] / F.col("w") - float(lean[i]) for i in range(size)]
+        tilt = sum((apart[i] * apart[j] * float(spread[i, j]) for i in range(size) for j in range(size)), F.lit(0.0))
+        others = per.where(F.col("_c") != base["_c"]).select(
+            F.concat(F.lit(category), "_c").alias("term"), (F.col("_a") - float(base["_a"])).alias("estimate"), F.sqrt(1 / F.col("w") + 1 / base["w"] + tilt).alias("std_error")
+        )
+        out = spark.createDataFrame(few, schema).unionByName(others).unionByName(lone)
+    out = out.withColumn("statistic", F.try_divide("estimate", "std_error"))
+    return out.withColumn("p", p_normal("statistic"))
