@@ -98,15 +98,17 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 class Classifier:
     """An additive model over binned features, fitted with the non-negative positive-unlabelled risk."""
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 400, seed: int = 7):
-        both = np.concatenate([positive, unlabelled])
-        cuts = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
-        self.cuts = [np.unique(cuts[:, k]) for k in range(both.shape[1])]
-        p, u = self.binned(positive), self.binned(unlabelled)
-        # A plain classifier of positive against unlabelled rows ranks them; where it sees the most positives,
-        # the share of unlabelled over the share of positive rows is the class prior.
-        ranker = self._descend(p, u, 0.5, rounds, plain=True)
-        self.prior = self._prior(self._value(ranker, p), self._value(ranker, u))
+    def __init__(self, positive: np.ndarray, every: np.ndarray, cuts: list[np.ndarray], share: tuple[float, float] | None = None, rounds: int = 400):
+        """positive: features of trusted positives; every: features of rows whatever their label; cuts: inner bin edges per
+        feature; share: the share of positives among rows with either label and its standard error, where both labels occur."""
+        self.cuts = cuts
+        p, u = self.binned(positive), self.binned(every)
+        tail, error = self._tail(p, u, rounds)
+        if share is not None:
+            # Two estimates of one prior, each by its precision; the tail's own slack adds to its chance error.
+            a, b = 1 / (error**2 + 0.05**2), 1 / max(share[1], 1e-3) ** 2
+            tail = (a * tail + b * share[0]) / (a + b)
+        self.prior = float(np.clip(tail, 0.05, 0.98))
         self.weights = self._descend(p, u, self.prior, rounds)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
@@ -117,15 +119,24 @@ class Classifier:
     def _value(weights: np.ndarray, places: np.ndarray) -> np.ndarray:
         return weights[places].sum(axis=1) + weights[-1]
 
-    @staticmethod
-    def _prior(p: np.ndarray, u: np.ndarray) -> float:
-        """The least ratio of P(unlabelled above t) to P(positive above t), over t that at least half of the positives exceed,
-        raised by one standard error so that chance doesn't lower it."""
-        cuts = np.quantile(p, np.linspace(0, 0.5, 51))
-        up = np.array([(u >= t).mean() for t in cuts])
-        pp = np.array([(p >= t).mean() for t in cuts])
-        ratio = up / np.maximum(pp, 1e-9) + np.sqrt(up * (1 - up) / len(u)) / np.maximum(pp, 1e-9)
-        return float(np.clip(ratio.min(), 0.05, 0.98))
+    def _tail(self, p: np.ndarray, u: np.ndarray, rounds: int, folds: int = 5) -> tuple[float, float]:
+        """The class prior from a plain classifier of positive rows against all: the least ratio of P(row above t) to
+        P(positive above t), over t that at least half of the positives exceed, raised by its standard error, and that error.
+
+        Every row is ranked by a classifier that has not seen it: one that has ranks its own positives too high."""
+        sp, su = np.zeros(len(p)), np.zeros(len(u))
+        for fold in range(folds):
+            inside = lambda x, f=fold: np.arange(len(x)) % folds == f
+            if not (~inside(p)).any() or not (~inside(u)).any():
+                continue
+            ranker = self._descend(p[~inside(p)], u[~inside(u)], 0.5, rounds // 2, plain=True)
+            sp[inside(p)], su[inside(u)] = self._value(ranker, p[inside(p)]), self._value(ranker, u[inside(u)])
+        cuts = np.quantile(sp, np.linspace(0, 0.5, 51))
+        up = np.array([(su >= t).mean() for t in cuts])
+        pp = np.maximum(np.array([(sp >= t).mean() for t in cuts]), 1e-9)
+        error = np.sqrt(up * (1 - up) / len(u) + (up / pp) ** 2 * pp * (1 - pp) / len(p)) / pp
+        at = int(np.argmin(up / pp + error))
+        return float((up / pp + error)[at]), float(error[at])
 
     def _descend(self, p: np.ndarray, u: np.ndarray, prior: float, rounds: int, plain: bool = False) -> np.ndarray:
         """Adam over the whole batch. The risk is prior * l(p, 1) + max(0, l(u, 0) - prior * l(p, 0)), with the logistic
@@ -152,29 +163,42 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self._value(self.weights, self.binned(x)), -30, 30)))
 
 
+def bin_edges(rows: DataFrame) -> list[np.ndarray]:
+    """The distinct inner edges of BINS bins of equal numbers of rows per feature, over all rows."""
+    wanted = [float(q) for q in np.linspace(0, 1, BINS + 1)[1:-1]]
+    found = rows.agg(*[F.percentile_approx(F.col("x")[k], wanted, 1000).alias(f"f{k}") for k in range(len(FEATURES))]).first()
+    return [np.unique(np.array(edges or [], float)) for edges in found]
+
+
 def fit(rows: DataFrame, labels: DataFrame, learn: Column, most: int = FIT_ROWS, label: str = "quality") -> Classifier | None:
-    """The classifier from rows (doc_id, x): trusted positives are labelled 1, unlabelled rows have no label at all.
+    """The classifier from rows (doc_id, x): trusted positives are labelled 1; the rows that stand for all are those
+    that may be learned from, whatever their label, so that it doesn't matter how many have none.
 
-    Of each kind at most `most` rows are read, those with the smallest hash of the id. An id with labels that differ
-    counts as unlabelled. Null if either kind has no row.
+    Of each of the two about `most` rows are read, by a hash cut-off that follows from their number. Bin edges, numbers
+    and the share of positives cover all rows. An id with labels that differ counts as unlabelled. None if there is no positive.
     """
     one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_low"), F.max(label).alias("_high"))
     joined = rows.where(learn).join(one, "doc_id", "left")
-    kind = F.when(F.col("_low") == 1, 1).when(F.col("_low").isNull() | (F.col("_low") != F.col("_high")), 0)
-    joined = joined.select("x", kind.alias("kind"), F.xxhash64("doc_id").alias("_h"))
+    known = F.when(F.col("_low") == F.col("_high"), F.col("_low"))
+    joined = written(joined.select("x", known.alias("known"), F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30)).alias("_h")))
+    ones, zeros, n = joined.agg(F.count_if(F.col("known") == 1), F.count_if(F.col("known") == 0), F.count(F.lit(1))).first()
+    if not ones:
+        return None
     parts = []
-    for k in (1, 0):
-        found = joined.where(F.col("kind") == k).orderBy("_h", "x").limit(most).select("x").toPandas()
-        parts.append(np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES)))
-    return Classifier(*parts) if all(map(len, parts)) else None
+    for sample, size in ((joined.where(F.col("known") == 1), ones), (joined, n)):
+        some = sample.where(F.col("_h") <= int(min(1.0, most / size) * (1 << 30))).select("_h", "x").toPandas()
+        some = some.iloc[np.lexsort((some["x"].map(tuple), some["_h"]))] if len(some) else some
+        parts.append(np.array(some["x"].tolist(), float).reshape(len(some), len(FEATURES)))
+    share = (ones / (ones + zeros), float(np.sqrt(ones * zeros / (ones + zeros) ** 3))) if zeros else None
+    return Classifier(*parts, bin_edges(joined), share) if all(map(len, parts)) else None
 
 
 def judge(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, most: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out (learn does not hold), score, predicted (1 if score >= threshold).
 
     learn is a condition on doc_id that says which documents' labels may be used; null counts as no. Scores depend on
-    the text alone. Null and blank texts are scored from their zero features. If no positive or no unlabelled document
-    is there to learn from, every score is 0.5. Repeated rows each get a row; other columns are not returned.
+    the text alone. Null and blank texts are scored from their zero features. If no document that may be learned from is
+    labelled 1, every score is 0.5. Repeated rows each get a row; other columns are not returned.
     """
     rows = written(described(docs, id_col, text_col))
     learn = F.coalesce(learn, F.lit(False))
