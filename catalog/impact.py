@@ -334,6 +334,18 @@ def _(spark, d):
     return impact.before_after(_na(spark, d), ["id"])
 
 
+@query(
+    "influence_box_by_participant",
+    f"""WITH {_NAI}, x AS (SELECT id, influence AS v FROM nai WHERE influence BETWEEN -1 AND 2),
+        s AS (SELECT id, count(*) AS n, quantile_cont(v, 0.25) AS q1, median(v) AS md, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY id)
+        SELECT id, n, round(q1 + 1e-9, 6) AS q1, round(md + 1e-9, 6) AS median, round(q3 + 1e-9, 6) AS q3 FROM s""",
+    ["na"],
+)
+def _(spark, d):
+    boxes = layers.box_stats(_na(spark, d), "influence", ["id"], limits=(-1.0, 2.0))
+    return off_ties(boxes.select("id", "n", "q1", "median", "q3"), "q1", "median", "q3")
+
+
 @query(
     "influence_by_participant",
     f"""WITH {_NAI}, p AS (SELECT id, avg(influence) AS mi, avg(abs(qp_r - qp_hr)) AS fd FROM nai GROUP BY id)

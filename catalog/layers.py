@@ -4,12 +4,13 @@ from catalog.registry import query
 from catalog.views import assess
 from twosight.functions.nulls import bin_floor
 from twosight.operators import layers, ordered
+from twosight.operators.reshape import longer
 from twosight.operators.summary import describe
 from twosight.plans import impact, preparation
 from twosight.sources import read_parquet
 
 
-def _density_sql(source: str, low: float, high: float, points: int = 512, fine: int = 1024) -> str:
+def density_sql(source: str, low: float, high: float, points: int = 512, fine: int = 1024) -> str:
     """Density of ``source`` (g, x) on a grid from low to high, on linearly binned values."""
     return (
         f"WITH src AS ({source}), x AS (SELECT g, x::DOUBLE AS x FROM src WHERE x BETWEEN {low}::DOUBLE AND {high}::DOUBLE), "
@@ -37,7 +38,7 @@ def _(spark, d):
 
 @query(
     "density_grid",
-    _density_sql("SELECT qb = outcome AS g, time AS x FROM long WHERE type = 'hr'", 0, 60)
+    density_sql("SELECT qb = outcome AS g, time AS x FROM long WHERE type = 'hr'", 0, 60)
     + "SELECT g AS correct, point::BIGINT AS point, round(xg, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k",
     ["long"],
 )
@@ -48,7 +49,7 @@ def _(spark, d):
 
 @query(
     "density_before_after",
-    _density_sql(
+    density_sql(
         "SELECT 'initial_diff' AS g, round(abs(qp_h - qp_r), 6) AS x FROM na UNION ALL SELECT 'final_diff', round(abs(qp_hr - qp_r), 6) FROM na", 0, 1
     )
     + "SELECT g AS type, point::BIGINT AS point, round(xg, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k",
@@ -61,7 +62,7 @@ def _(spark, d):
 
 @query(
     "density_influence_by_participant",
-    _density_sql(
+    density_sql(
         """SELECT 1 AS g, round(avg(CASE WHEN abs(qp_h - qp_r) > 0.05::DOUBLE THEN (qp_hr - qp_h) / (qp_r - qp_h) END), 6) AS x FROM na GROUP BY id""", -0.5, 1
     )
     + "SELECT point::BIGINT AS point, round(xg, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k",
@@ -73,27 +74,40 @@ def _(spark, d):
     return layers.density(people, "mean_influence", limits=(-0.5, 1.0))
 
 
-@query(
-    "density_ridges",
-    """WITH x AS (SELECT floor(qp_r * 10) / 10 AS qp_r_bin, setting, qp AS x FROM long WHERE type = 'hr' AND qp BETWEEN 0 AND 1),
-       b AS (SELECT qp_r_bin, setting, 0.9::DOUBLE * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34::DOUBLE) * pow(count(*), -0.2::DOUBLE) AS bw,
+def ridges_sql(source: str, group: str) -> str:
+    """Ridges of ``source`` (qp_r_bin, <group>, x) with one bandwidth, padded by three of them beyond 0 and 1."""
+    return f"""WITH x AS (SELECT * FROM ({source}) z WHERE x BETWEEN 0 AND 1),
+       b AS (SELECT qp_r_bin, {group}, 0.9::DOUBLE * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34::DOUBLE) * pow(count(*), -0.2::DOUBLE) AS bw,
              count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) >= 3),
        s AS (SELECT avg(bw) AS bw, 0 - 3 * avg(bw) AS lo, 1 + 3 * avg(bw) AS hi FROM b),
-       p AS (SELECT qp_r_bin, setting, n, (x - lo) / (hi - lo) * 1023 AS pos FROM x JOIN b USING (qp_r_bin, setting), s),
-       w AS (SELECT qp_r_bin, setting, n, least(floor(pos), 1022) AS node, 1 - (pos - least(floor(pos), 1022)) AS w FROM p
-             UNION ALL SELECT qp_r_bin, setting, n, least(floor(pos), 1022) + 1, pos - least(floor(pos), 1022) FROM p),
-       nd AS (SELECT qp_r_bin, setting, n, node, sum(w) AS w FROM w GROUP BY 1, 2, 3, 4),
-       k AS (SELECT qp_r_bin, setting, i AS point, lo + i * (hi - lo) / 511 AS x, bw, n,
+       p AS (SELECT qp_r_bin, {group}, n, (x - lo) / (hi - lo) * 1023 AS pos FROM x JOIN b USING (qp_r_bin, {group}), s),
+       w AS (SELECT qp_r_bin, {group}, n, least(floor(pos), 1022) AS node, 1 - (pos - least(floor(pos), 1022)) AS w FROM p
+             UNION ALL SELECT qp_r_bin, {group}, n, least(floor(pos), 1022) + 1, pos - least(floor(pos), 1022) FROM p),
+       nd AS (SELECT qp_r_bin, {group}, n, node, sum(w) AS w FROM w GROUP BY 1, 2, 3, 4),
+       k AS (SELECT qp_r_bin, {group}, i AS point, lo + i * (hi - lo) / 511 AS x, bw, n,
              sum(w * exp(-0.5::DOUBLE * pow((i * (hi - lo) / 511 - node * (hi - lo) / 1023) / bw, 2))) / (n * bw * sqrt(2 * pi())) AS density
-             FROM nd, s, range(512) t(i) GROUP BY qp_r_bin, setting, i, lo, hi, bw, n)
-       SELECT qp_r_bin, setting, point, round(x, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k""",
-    ["long"],
-)
+             FROM nd, s, range(512) t(i) GROUP BY qp_r_bin, {group}, i, lo, hi, bw, n)
+       SELECT qp_r_bin, {group}, point, round(x, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k"""
+
+
+@query("density_ridges", ridges_sql("SELECT floor(qp_r * 10) / 10 AS qp_r_bin, setting, qp AS x FROM long WHERE type = 'hr'", "setting"), ["long"])
 def _(spark, d):
     rows = preparation.assisted(assess(spark, d)).withColumn("qp_r_bin", bin_floor("qp_r", 10))
     return layers.ridges(rows, "qp", ["qp_r_bin", "setting"], limits=(0.0, 1.0))
 
 
+@query(
+    "density_ridges_before_after",
+    ridges_sql(
+        "SELECT floor(qp_r * 10) / 10 AS qp_r_bin, 'qp_h' AS type, qp_h AS x FROM na UNION ALL SELECT floor(qp_r * 10) / 10, 'qp_hr', qp_hr FROM na", "type"
+    ),
+    ["na"],
+)
+def _(spark, d):
+    pair = preparation.part_two(assess(spark, d), "No anchor").withColumn("qp_r_bin", bin_floor("qp_r", 10))
+    return layers.ridges(longer(pair, ["qp_r_bin"], ["qp_h", "qp_hr"], "type", "value"), "value", ["qp_r_bin", "type"], limits=(0.0, 1.0))
+
+
 @query(
     "box_stats",
     """WITH s AS (SELECT event_type, count(*) AS n, quantile_cont(value, 0.25) AS q1, median(value) AS md, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type),

@@ -211,6 +211,17 @@ def _(spark, d):
     return performance.perceived_gap(_both(spark, d), na_rm=True)
 
 
+@query(
+    "perceived_gap_strict",
+    f"""WITH {_AP}, x AS (SELECT set_q, abs(acc - humanaccuracy) AS gap, CASE WHEN humanaccuracy > acc THEN 1 WHEN humanaccuracy <= acc THEN 0 END AS over FROM ap),
+        m AS (SELECT set_q, CASE WHEN count(gap) = count(*) THEN avg(gap) END AS g, CASE WHEN count(over) = count(*) THEN avg(over) END AS o FROM x GROUP BY set_q)
+        SELECT set_q, round(g, 6) AS perc_diff, round(o, 6) AS overestimate, round(g * CASE WHEN set_q = 1 THEN 14 ELSE 25 END, 6) AS diff_n_question FROM m""",
+    ["answers", "accset"],
+)
+def _(spark, d):
+    return performance.perceived_gap(_both(spark, d))
+
+
 @query(
     "confidence_shares",
     f"""WITH {_AP} SELECT set_q, confidence, CASE WHEN count(humanaccuracy) = count(*) THEN round(avg(humanaccuracy), 6) END AS mean_hacc,

@@ -1,10 +1,12 @@
 from pyspark.sql import functions as F
 
 from catalog import sqltext as q
+from catalog.layers import density_sql
 from catalog.registry import off_ties, query
 from catalog.views import assess, view
 from twosight.functions.nulls import flag
 from twosight.operators import inference, layers, ranks
+from twosight.operators.summary import keep_groups
 from twosight.plans import preparation, timeuse
 
 # Columns that make an answer of a participant unique.
@@ -128,6 +130,15 @@ def _(spark, d):
     return timeuse.first_item_test(_long(spark, d).where("survey_part = 1"), 2)
 
 
+@query(
+    "first_item_rank_sum_part2",
+    q.rank_sum_sql("SELECT time AS x, CASE WHEN order_question = 3 THEN 0 ELSE 1 END AS a FROM long WHERE survey_part = 2"),
+    ["long"],
+)
+def _(spark, d):
+    return timeuse.first_item_test(_long(spark, d).where("survey_part = 2"), 3)
+
+
 @query(
     "first_item_part_two",
     f"""WITH {_TP} SELECT order_question = 3 AS first_item, round(avg(time), 6) AS mean_time, round(median(time), 6) AS median_time,
@@ -204,6 +215,18 @@ def _desc(spark, d):
     return timeuse.with_text_length(_anchor(spark, d), view(spark, d, "descriptions"))
 
 
+@query(
+    "density_time_by_length",
+    f"WITH {_DESC}, big AS (SELECT n_char_bin FROM dl GROUP BY n_char_bin HAVING count(*) > 200), "
+    + density_sql("SELECT n_char_bin AS g, time AS x FROM dl JOIN big USING (n_char_bin)", 0, 60)[5:]
+    + "SELECT g AS n_char_bin, point::BIGINT AS point, round(xg, 6) AS x, round(density, 6) AS density, round(bw, 6) AS bw, n FROM k",
+    ["long", "descriptions"],
+)
+def _(spark, d):
+    many = keep_groups(_desc(spark, d), ["n_char_bin"], F.count(F.lit(1)) > 200)
+    return layers.density(many, "time", ["n_char_bin"], limits=(0.0, 60.0))
+
+
 @query("spearman_time_length", f"WITH {_DESC}, " + q.spearman_sql("SELECT time AS x, n_char AS y FROM dl")[5:], ["long", "descriptions"])
 def _(spark, d):
     return ranks.spearman(_desc(spark, d), "time", "n_char")
