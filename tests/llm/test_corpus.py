@@ -355,3 +355,56 @@ def test_language_stage_without_languages(docs):
     want = sorted(r.text for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
     assert sorted(r.text for r in corpus_pipeline.language_id(docs.sparkSession, unknown, "").collect()) == want
     assert sorted(r.text for r in corpus_pipeline.language_id(docs.sparkSession, docs, "").collect()) == want
+
+
+def plain_mixture(counts, shares, penalty, rounds):
+    """EM of one text over every set of its 1, 2, ... likeliest languages, n-gram by n-gram in double precision."""
+
+    def fit(use):
+        weight = {k: 1 / len(use) for k in use}
+        for _ in range(rounds):
+            new = dict.fromkeys(use, 0.0)
+            for b, n in zip(*counts):
+                whole = sum(weight[k] * float(shares[b, k]) for k in use)
+                for k in use:
+                    new[k] += n * weight[k] * float(shares[b, k]) / whole
+            weight = {k: v / sum(counts[1]) for k, v in new.items()}
+        return weight, sum(n * np.log(sum(weight[k] * float(shares[b, k]) for k in use)) for b, n in zip(*counts))
+
+    every = range(shares.shape[1])
+    first, _ = fit(every)
+    order = sorted(every, key=lambda k: (-first[k], k))
+    tried = [fit(order[: size + 1]) for size in every]
+    value, size = max((v - penalty * k * np.log(sum(counts[1])), -k) for k, (_, v) in enumerate(tried))
+    return [tried[-size][0].get(k, 0.0) for k in every], value
+
+
+def test_mixture_against_plain_version():
+    """The batched EM finds the proportions that EM over all nested sets finds, also when texts are judged a few at a time."""
+    rng = np.random.default_rng(3)
+    shares = rng.dirichlet(np.full(40, 0.3), 5).T + 1e-4
+    shares = (shares / shares.sum(axis=0)).astype(np.float32)
+    texts = []
+    for i in range(30):
+        mixed = shares[:, rng.choice(5, 1 + i % 4, replace=False)].mean(axis=1)
+        drawn = rng.multinomial(int(rng.integers(1, 600)), mixed / mixed.sum())
+        texts.append((np.flatnonzero(drawn), drawn[drawn > 0]))
+    got = language.infer(texts, shares, 4.0, 8)
+    for text, row in zip(texts, got):
+        want, _ = plain_mixture(text, shares, 4.0, 8)
+        assert np.allclose(row, want, atol=2e-3), (row, want)
+    parts = list(language.together([5 * len(t[0]) for t in texts], 300))
+    assert len(parts) > 3 and [i for x in parts for i in range(30)[x]] == list(range(30))
+    assert np.allclose(np.concatenate([language.infer(texts[x], shares, 4.0, 8) for x in parts]), got, atol=1e-5)
+    assert list(language.together([], 5)) == [] and list(language.together([9, 1, 9], 5)) == [slice(0, 1), slice(1, 2), slice(2, 3)]
+
+
+def test_mix_output(docs, tmp_path):
+    """The mix goes to the folder named, whole; with a share above the cap every word is taken cap times."""
+    folder = f"{tmp_path}/mix"
+    report = mixing.mix(docs, block=16, output=folder).toPandas()
+    assert sorted(map(str, report.values.tolist())) == sorted(map(str, mixing.mix(docs, block=16).toPandas().values.tolist()))
+    kept = docs.sparkSession.read.parquet(folder).drop("doc_at").collect()
+    assert sorted(map(str, kept)) == sorted(map(str, mixing.pieces(docs, block=16).collect()))
+    full = mixing.mix(docs, block=16, share=3.0, cap=2.0).toPandas()
+    assert (full.taken == 2 * full["size"]).all() and (full.target == 2 * full.source_size).all()

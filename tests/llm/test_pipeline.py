@@ -46,14 +46,26 @@ def test_messy_documents(spark, folder):
     assert all(r.taken <= 2 * r["size"] for r in kept["mixture"].collect())
 
 
+def test_languages_are_filled_in(spark, folder):
+    """A null lang becomes the language found; a given one stays, right or wrong."""
+    rows = [(i, f"the ship and the harbour number {i}", "en") for i in range(20)] + [(i, f"das Schiff und der Hafen mit Nummer {i}", "de") for i in range(20, 40)]
+    rows += [(40, "the harbour and the ship", None), (41, "der Hafen und das Schiff", None), (42, "the ship and the harbour", "de"), (43, "1 2 3", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'a' as source", "length(text) as n_chars")
+    found = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, folder).collect()}
+    assert [found.get(i) for i in range(40, 44)] == ["en", "de", "de", None] and 43 not in found and len(found) == 43
+
+
 def test_empty_documents(spark, folder):
     kept = staged(spark, spark.createDataFrame([], SCHEMA), folder)
     assert all(docs.count() == 0 for docs in kept.values())
 
 
-def test_run(spark, sf_dir):
+def test_run(spark, sf_dir, tmp_path):
     if not os.path.isdir(sf_dir):
         pytest.skip("no test tables")
-    rows = corpus_pipeline.run(spark, sf_dir).toPandas()
+    rows = corpus_pipeline.run(spark, sf_dir, output=f"{tmp_path}/mix").toPandas()
+    texts = spark.read.parquet(f"{tmp_path}/mix").select("doc_id", "text").collect()
+    taken = dict(zip(rows.doc_id, rows.taken))
+    assert sum(len(r.text.split()) for r in texts) == rows.taken.sum() and {r.doc_id for r in texts} == {i for i, n in taken.items() if n}
     by = rows.groupby("source").agg(size=("size", "sum"), said=("source_size", "first"), taken=("taken", "sum"), target=("target", "first"))
     assert len(rows) and (by["size"] == by.said).all() and (abs(by.taken - by.target) <= 1).all() and (rows.taken <= 2 * rows["size"]).all()

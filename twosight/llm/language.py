@@ -17,6 +17,8 @@ from .common import drop, written
 BUCKETS, MOST_LANGUAGES = 1 << 16, 256
 #: Characters taken together; a longer text is counted in pieces of this size.
 PIECE = 1 << 20
+#: n-grams times languages that texts judged together may have; a text with more is judged alone.
+CELLS = 1 << 22
 UNDETERMINED = "und"
 
 
@@ -144,6 +146,18 @@ def infer(counts: list[tuple[np.ndarray, np.ndarray]], shares: np.ndarray, penal
     return best
 
 
+def together(sizes: list[int], most: int) -> Iterator[slice]:
+    """Neighbouring texts, as many at a time as their sizes add up to at most `most`, one at least."""
+    first = held = 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > most:
+            yield slice(first, i)
+            first, held = i, 0
+        held += size
+    if sizes:
+        yield slice(first, len(sizes))
+
+
 def identify(
     docs: DataFrame, counts: DataFrame, penalty: float = 4.0, rounds: int = 8, text_col: str = "text",
 ) -> DataFrame:
@@ -169,7 +183,9 @@ def identify(
                 known = [i for i, c in enumerate(found) if c is not None and names]
                 lang, score, mixed = [UNDETERMINED] * len(found), [0.0] * len(found), [[] for _ in found]
                 if known:
-                    part = infer([found[i] for i in known], shares, penalty, rounds)
+                    counted = [found[i] for i in known]
+                    parts = together([len(c[0]) * len(names) for c in counted], CELLS)
+                    part = np.concatenate([infer(counted[x], shares, penalty, rounds) for x in parts])
                     for i, row in zip(known, part, strict=True):
                         top = int(row.argmax())
                         lang[i], score[i] = names[top], min(1.0, float(row[top]))

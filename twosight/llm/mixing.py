@@ -72,8 +72,6 @@ def schedule(spark: SparkSession, sources: DataFrame, n_slots: int, n_sources: i
 
 def _laid(docs: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int, block: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
     """One row per document with its key (source, _h, doc_id, size) and place _start, and its source's row of the second frame."""
-    if share > cap:
-        raise ValueError("share can't exceed cap: the sources would not hold so many words")
     sized = _keyed(docs, seed, id_col, text_col, source_col).drop("text")
     order = [F.col("source").asc_nulls_last(), F.col("_h"), F.col("doc_id"), F.col("size")]
     laid = running_totals(sized, order, "size", "_start")
@@ -141,7 +139,7 @@ def pieces(
     are its words in the document, text is the document from the one to the other, white space between them unchanged.
 
     Null and blank texts give no rows, as does an empty table. Null is a source of its own, the last. Repeated rows and
-    ids are separate documents. A share above cap is an error (ValueError). The files last until the scratch tables are cleared.
+    ids are separate documents. With a share above cap every source is taken cap times. The files last until the scratch tables are cleared.
     """
     placed, sources = _laid(docs, weights, share, cap, seed, block, id_col, text_col, source_col)
     return written(_pieces(docs, placed, sources, cap, block, seed, id_col, text_col, source_col).drop("doc_at"))
@@ -150,18 +148,25 @@ def pieces(
 def mix(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
     block: int = 1024, seed: int = 20240607, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    output: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, weight, target, taken, first_slot.
 
     size is the number of words. taken is the number of words in the texts of the document's pieces, counted in the mixed
     rows that pieces() writes, repeats included, and so never exceeds cap times its size; first_slot is the first slot that
-    takes any of them, null if none does.
+    takes any of them, null if none does. output names a folder for the mix: it is written there as Parquet, the rows of
+    pieces() with doc_at (which tells equal documents apart), and the report is counted in these files; without it the rows
+    are counted as they come.
 
     Null and blank texts have size 0 and take nothing. Null is a source of its own, the last. Repeated rows and ids
-    are separate documents. An empty table gives no rows. Other columns of docs are not returned.
+    are separate documents. An empty table gives no rows. With a share above cap every source is taken cap times. Other
+    columns of docs are not returned.
     """
     placed, sources = _laid(docs, weights, share, cap, seed, block, id_col, text_col, source_col)
     mixed = _pieces(docs, placed, sources, cap, block, seed, id_col, text_col, source_col)
+    if output is not None:
+        mixed.write.option("compression", "zstd").parquet(output)
+        mixed = docs.sparkSession.read.schema(mixed.schema).parquet(output)
     taken = mixed.groupBy(F.col("doc_at").alias("_at")).agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("_taken"), F.min("slot").alias("first_slot"))
     out = placed.join(taken, (F.col("_start") == F.col("_at")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "source", "size", "source_size", "weight", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
