@@ -408,3 +408,29 @@ def test_mix_output(docs, tmp_path):
     assert sorted(map(str, kept)) == sorted(map(str, mixing.pieces(docs, block=16).collect()))
     full = mixing.mix(docs, block=16, share=3.0, cap=2.0).toPandas()
     assert (full.taken == 2 * full["size"]).all() and (full.target == 2 * full.source_size).all()
+
+
+def test_mix_counts_each_text_once(docs, monkeypatch):
+    """Rows are dealt into ranges without their texts being read again for the range sample."""
+    plans = []
+
+    def spy(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return running_totals(df, *args)
+
+    running_totals = mixing.running_totals
+    monkeypatch.setattr(mixing, "running_totals", spy)
+    mixing.mix(docs, block=16)
+    assert len(plans) == 1 and "regexp" not in plans[0].lower() and "text" not in plans[0].lower()
+
+
+def test_mix_pieces_of_whole_and_cut_documents(spark):
+    """Documents taken whole and cut ones give the same words; only ASCII white space at the edges goes."""
+    texts = ["\x0b a b \t\x1c", " c  d\n\n", " \x85 ", "é\x1cf\r\n" * 40, "\r\n", "x"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for block in (1, 7, 4096):
+        rows = mixing.pieces(docs, block=block).collect()
+        for r in rows:
+            spans = [m.span() for m in WORD.finditer(texts[r.doc_id])]
+            assert r.text == texts[r.doc_id][spans[r.first_word][0] : spans[r.last_word][1]]
+        assert sum(len(WORD.findall(r.text)) for r in rows) == int(1.5 * sum(len(WORD.findall(t)) for t in texts))

@@ -13,7 +13,7 @@ from .common import WORD, drop, let, running_totals, written
 MODULUS, STEP = 2_147_483_647, 1_327_217_885
 #: Words of the mix in one file, to the next whole block.
 FILE_WORDS = 4_000_000
-_BLANK = r"[\x20\x09-\x0D]"
+BLANKS, _BLANK = " \t\n\v\f\r", r"[\x20\x09-\x0D]"
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -72,9 +72,11 @@ def schedule(spark: SparkSession, sources: DataFrame, n_slots: int, n_sources: i
 
 def _laid(docs: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int, block: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
     """One row per document with its key (source, _h, doc_id, size) and place _start, and its source's row of the second frame."""
-    sized = _keyed(docs, seed, id_col, text_col, source_col).drop("text")
+    # Written first: dealing into ranges reads its rows twice, once for the sample, and the texts should be counted once.
+    sized = written(_keyed(docs, seed, id_col, text_col, source_col).drop("text"))
     order = [F.col("source").asc_nulls_last(), F.col("_h"), F.col("doc_id"), F.col("size")]
     laid = running_totals(sized, order, "size", "_start")
+    drop(sized)
     sizes = laid.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_start").alias("_base"))
     quota = F.ceil(F.floor("target") / block).cast("long")
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -106,15 +108,18 @@ def _pieces(docs: DataFrame, placed: DataFrame, sources: DataFrame, cap: float,
     parts = parts.withColumn("at", start).withColumn("_n", F.least(F.col("_to"), (F.col("rank") + 1) * block) - start)
     piece = F.struct("slot", "rank", "at", (F.col("at") - F.col("_from")).cast("int").alias("first_word"), F.col("_n").cast("int").alias("n_words"))
     spans = parts.join(slots, ["source_no", "rank"]).groupBy("_start").agg(F.collect_list(piece).alias("_spans"))
-    spans = written(placed.where("size > 0").select("_start", "doc_id", "source", "_h", "_g").join(spans, "_start"))
+    spans = written(placed.where("size > 0").select("_start", "doc_id", "source", "size", "_h", "_g").join(spans, "_start"))
     # Rows with equal hashes have equal ids and texts, so one text serves them all. Both sides are dealt by the hashes
     # alone, so the texts that the aggregate has dealt are not dealt again for the join.
-    texts = _keyed(docs, seed, id_col, text_col, source_col).where("size > 0").groupBy("_h", "_g").agg(F.any_value("text").alias("text"))
-    both = texts.join(spans.hint("merge"), ["_h", "_g"]).select("_start", "doc_id", "source", "_spans", "text")
+    # That a text has a word is seen at its first one; the words are counted in _laid.
+    texts = _keyed(docs, seed, id_col, text_col, source_col).where(F.col("text").rlike(WORD[:-1])).groupBy("_h", "_g").agg(F.any_value("text").alias("text"))
+    both = texts.join(spans.hint("merge"), ["_h", "_g"]).select("_start", "doc_id", "source", "size", "_spans", "text")
     # The text is cut before each word, so a word keeps the white space that follows it; that of the last word goes.
-    cut = F.split(F.regexp_replace("text", f"^{_BLANK}+", ""), f"(?<={_BLANK})(?={WORD[:-1]})")
-    whole = lambda w, x: F.regexp_replace(F.array_join(F.slice(w, x["first_word"] + 1, x["n_words"]), ""), rf"{_BLANK}+\z", "")
-    texted = let(cut, lambda w: F.transform(F.col("_spans"), lambda x: F.struct(x.alias("p"), whole(w, x).alias("text"))))
+    # Documents taken in one piece each time, which most are, need no cutting.
+    in_part = lambda x: x["n_words"] < F.col("size")
+    cut = F.when(F.exists("_spans", in_part), F.split(F.ltrim("text", F.lit(BLANKS)), f"(?<={_BLANK})(?={WORD[:-1]})"))
+    piece_text = lambda w, x: F.rtrim(F.when(in_part(x), F.array_join(F.slice(w, x["first_word"] + 1, x["n_words"]), "")).otherwise(F.ltrim("text", F.lit(BLANKS))), F.lit(BLANKS))
+    texted = let(cut, lambda w: F.transform(F.col("_spans"), lambda x: F.struct(x.alias("p"), piece_text(w, x).alias("text"))))
     rows = both.select("_start", "doc_id", "source", F.explode(texted).alias("_x"))
     rows = rows.select(
         "_x.p.slot", "source", "_x.p.rank", "_x.p.at", "doc_id", "_x.p.first_word",
