@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from twosight.llm import benchmark, language, licences, lines, mixing, neardup, neighbours, quality, tokens, urls
+from twosight.llm import benchmark, common, language, licences, lines, mixing, neardup, neighbours, quality, tokens, urls
 from twosight.llm.queries import URL_RULES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -434,3 +434,31 @@ def test_mix_pieces_of_whole_and_cut_documents(spark):
             spans = [m.span() for m in WORD.finditer(texts[r.doc_id])]
             assert r.text == texts[r.doc_id][spans[r.first_word][0] : spans[r.last_word][1]]
         assert sum(len(WORD.findall(r.text)) for r in rows) == int(1.5 * sum(len(WORD.findall(t)) for t in texts))
+
+
+def test_neighbours_read_lists_in_rounds(spark, monkeypatch):
+    """A query stops when a doubling of its lists brings next to nothing; told to read all, it reads each list once and loses none."""
+    read = []
+
+    def spy(df):
+        out = common.written(df)
+        if "lists" in df.columns:
+            read.extend((r["query"], x) for r in out.select("query", "lists").collect() for x in r.lists)
+        return out
+
+    monkeypatch.setattr(neighbours, "written", spy)
+    rng = np.random.default_rng(4)
+    x = np.rint(9 * (rng.normal(size=(9000, 8)) + 4 * rng.normal(size=(300, 8))[np.arange(9000) % 300]))
+    frame = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(9000)], "vec_id long, embedding array<double>")
+    asked = list(range(0, 9000, 300))
+    score = x[asked] @ x.T
+    order = [[i for i in np.lexsort((np.arange(9000), -s)) if i != q][:20] for q, s in zip(asked, score)]
+    soon = neighbours.nearest(frame, F.col("id") % 300 == 0).toPandas()
+    few = len(read)
+    assert few == len(set(read)) and len(soon) == 20 * len(asked)
+    found = [set(soon[soon.query_id == q].vec_id) for q in asked]
+    assert sum(len(f & set(o)) for f, o in zip(found, order)) >= 0.9 * 20 * len(asked)
+    read.clear()
+    every = neighbours.nearest(frame, F.col("id") % 300 == 0, ratio=1e9, recall=None).toPandas().sort_values(["query_id", "rank"])
+    assert len(read) == len(set(read)) and few < 0.8 * len(read)
+    assert every.vec_id.tolist() == [i for o in order for i in o]
